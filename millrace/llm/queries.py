@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quantiles, tokenize
+from millrace.llm import packing, quantiles, subjects, tokenize
 from millrace.operators.series import DAY_MS, without_copies
 from millrace.plans.tables import table
 
@@ -51,7 +51,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark, tokenize.count_tokens(table(spark, d, "documents")), 2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_daily, p1_buckets, p1_period, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    t = [table(spark, d, x) for x in ("documents", "subjects", "subject_labels")]
+    return subjects.assign(spark, *t).select("doc_id", "subject")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_daily, p1_buckets, p1_period, p7_ids, p8_containers, p9_found)}
 
 _LG = quantiles._shape(quantiles.ALPHA)
 _BUCKET = f"""CASE WHEN reading = 0 THEN 0 WHEN isinf(reading) THEN sign(reading) * {_LG[2]}
