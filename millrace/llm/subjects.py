@@ -31,19 +31,19 @@ from millrace.llm.words import Words, pair_ids
 from millrace.operators.lineage import checkpointed
 from millrace.operators.series import bounded
 
-#: Terms of a block of the vocabulary that is summed as one value; partial results summed at a time.
-BLOCK, FAN_IN = 512, 64
+#: Terms of a block of the vocabulary that is summed as one value; partial results summed at a time; texts a task at least.
+BLOCK, FAN_IN, TASK_TEXTS = 512, 64, 20_000
 #: Labelled texts up to this many are broadcast to the texts; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 16384
-    rank: int = 64
+    vocabulary: int = 8192
+    rank: int = 48
     rounds: int = 2
-    power: int = 4
-    refine: int = 4
+    power: int = 3
+    refine: int = 3
     near: float = 0.3  # least cosine of a text and its centroid
     term_near: float = 0.15  # least cosine of a term and a centroid of its subject
     least: tuple[int, ...] = (3, 4)  # texts that a term must occur in, by round
@@ -243,18 +243,20 @@ def _sum_matrices(spark: SparkSession, rows: DataFrame, part: Callable[[Iterator
         cuts = range(0, max(1, len(m)), BLOCK)
         salt = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c // BLOCK for c in cuts], pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([m[c : c + BLOCK].astype(np.float64).tobytes() for c in cuts], pa.binary())],
+            [pa.array([c // BLOCK for c in cuts], pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([m[c : c + BLOCK].astype(np.float32).tobytes() for c in cuts], pa.binary())],
             ["block", "salt", "m"],
         )
 
     def add(t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(x.as_py(), np.float64) for x in t["m"])
+        s = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t["m"]).astype(np.float32)
         return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "m": pa.array([s.tobytes()], pa.binary())})
 
     kind = "block int, salt int, m binary"
-    parts = rows.mapInArrow(run, kind).groupBy("block", "salt").applyInArrow(add, kind)
+    parts = rows.mapInArrow(run, kind)
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        parts = parts.groupBy("block", "salt").applyInArrow(add, kind)
     got = sorted(parts.groupBy("block").applyInArrow(add, kind).collect(), key=lambda r: r["block"])
-    return np.concatenate([np.frombuffer(r["m"], np.float64) for r in got]) if got else np.zeros(0)
+    return np.concatenate([np.frombuffer(r["m"], np.float32) for r in got]).astype(float) if got else np.zeros(0)
 
 
 def _kmeans(x: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
@@ -286,6 +288,8 @@ def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray,
             )
 
     rows = checkpointed(spark, texts.select("ids").mapInArrow(rows_of, "col array<int>, x array<float>"))
+    # each task gives a whole matrix: not too few texts a task
+    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // TASK_TEXTS))))
 
     def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         col, n = _flat(b, "col")
