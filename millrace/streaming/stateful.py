@@ -27,11 +27,14 @@ def windowed_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall], win
     cols += [to_column(a).cast(spark_type(t)).alias(f"a{i}_{j}") for i, u in enumerate(calls) for j, (a, t) in enumerate(zip(u.args, u.udaf.input_types))]
     wide = df.select(*cols).select("*", F.col("w.start").alias("w0"), F.col("w.end").alias("w1")).drop("w")
 
+    # what the tasks need, without the expressions of the driver
+    specs = [(u.udaf.accumulator, [_arrow(t) for t in u.udaf.input_types], u.udaf.state_type) for u in calls]
+
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accs = [u.udaf.accumulator() for u in calls]
+        accs = [make() for make, *_ in specs]
         if state.exists:
-            for u, acc, s in zip(calls, accs, pickle.loads(state.get[0])):  # noqa: S301 - written below
-                merge_states(acc, [s], u.udaf.state_type)
+            for (_, _, kinds), acc, s in zip(specs, accs, pickle.loads(state.get[0])):  # noqa: S301 - written below
+                merge_states(acc, [s], kinds)
         if state.hasTimedOut:
             state.remove()
             row = {f"k{i}": [v] for i, v in enumerate(key[:nk])}
@@ -39,10 +42,11 @@ def windowed_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall], win
             yield pd.DataFrame(row | {"w0": [key[nk]], "w1": [key[nk + 1]]})
             return
         for p in parts:
-            for i, (u, acc) in enumerate(zip(calls, accs)):
-                acc.update(*[pa.array(p[f"a{i}_{j}"], _arrow(t), from_pandas=True) for j, t in enumerate(u.udaf.input_types)])
+            for i, ((_, kinds, _), acc) in enumerate(zip(specs, accs)):
+                acc.update(*[pa.array(p[f"a{i}_{j}"], t, from_pandas=True) for j, t in enumerate(kinds)])
         state.update((pickle.dumps([[_plain(x) for x in a.state()] for a in accs]),))
-        end = int(pd.Timestamp(key[nk + 1]).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(key[nk + 1]).tzinfo is None else int(pd.Timestamp(key[nk + 1]).timestamp() * 1000)
+        end = pd.Timestamp(key[nk + 1])
+        end = int((end.tz_localize("UTC") if end.tzinfo is None else end).timestamp() * 1000)
         state.setTimeoutTimestamp(max(end - 1, state.getCurrentWatermarkMs() + 1))
 
     kf = [T.StructField(f"k{i}", wide.schema[f"k{i}"].dataType) for i in range(nk)]

@@ -148,6 +148,8 @@ def aggregate_with_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall
     wide = df.select(*cols)
     key_fields = [wide.schema[f"k{i}"] for i in range(len(keys))]
     nk = len(keys)
+    # what the tasks need, without the expressions of the driver
+    specs = [(u.udaf.accumulator, len(u.args), u.udaf.state_type, _arrow(u.udaf.return_type)) for u in calls]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[Any, list[Accumulator]] = {}
@@ -155,16 +157,16 @@ def aggregate_with_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall
         for b in batches:
             kinds = [b.schema.field(f"k{i}").type for i in range(nk)]
             t = pa.Table.from_batches([b])
-            rows: dict[Any, list[int]] = {}
+            rows: dict[Any, Any] = {}
             marks = list(zip(*[b.column(i).to_pylist() for i in range(nk)])) if nk else [()] * b.num_rows
             for r, k in enumerate(marks):
                 rows.setdefault(repr(k) if any(isinstance(x, (dict, list)) for x in k) else k, [k, []])[1].append(r)
             for key, (k, at) in rows.items():
                 if key not in held:
-                    held[key] = [k, [u.udaf.accumulator() for u in calls]]
+                    held[key] = [k, [make() for make, *_ in specs]]
                 part = t.take(at)
-                for i, (u, acc) in enumerate(zip(calls, held[key][1])):
-                    acc.update(*[part[f"a{i}_{j}"].combine_chunks() for j in range(len(u.args))])
+                for i, ((_, n, *_), acc) in enumerate(zip(specs, held[key][1])):
+                    acc.update(*[part[f"a{i}_{j}"].combine_chunks() for j in range(n)])
             if len(held) > 100_000:
                 yield emit(held, kinds)
                 held.clear()
@@ -179,10 +181,10 @@ def aggregate_with_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall
     def final(t: pa.Table) -> pa.Table:
         states = [pickle.loads(s) for s in t["state"].to_pylist()]  # noqa: S301 - written by partial above
         out = {f"k{i}": t[f"k{i}"].slice(0, 1) for i in range(nk)}
-        for i, u in enumerate(calls):
-            acc = u.udaf.accumulator()
-            merge_states(acc, [s[i] for s in states], u.udaf.state_type)
-            out[f"r{i}"] = pa.array([_plain(acc.evaluate())], _arrow(u.udaf.return_type))
+        for i, (make, _, state_type, kind) in enumerate(specs):
+            acc = make()
+            merge_states(acc, [s[i] for s in states], state_type)
+            out[f"r{i}"] = pa.array([_plain(acc.evaluate())], kind)
         return pa.table(out)
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in key_fields], T.StructField("state", T.BinaryType())])
