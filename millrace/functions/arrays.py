@@ -71,7 +71,8 @@ def array_distinct(array: Any) -> Expr:
 def array_element(array: Any, n: Any) -> Expr:
     """The element at place ``n``, null beyond either end or at 0."""
     i = c(n).cast("int")
-    return _e(F.when(i != 0, F.try_element_at(c(array), F.when(i == 0, F.lit(1)).otherwise(i))), array, n, name="array_element")
+    a = c(array)
+    return _e(F.get(a, F.when(i > 0, i - 1).when(i < 0, F.size(a) + i)), array, n, name="array_element")
 
 
 def array_length(array: Any) -> Expr:

@@ -320,7 +320,7 @@ def over_frames(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5")
 def sort_limit_offset(spark, d):
-    return frame(spark, d, "orders").select("o_orderkey", "o_totalprice").sort(col("o_totalprice").sort(ascending=False), col("o_orderkey")).limit(25, 5).df
+    return frame(spark, d, "orders").select("o_orderkey", "o_totalprice").sort(F.order_by(col("o_totalprice"), ascending=False), col("o_orderkey")).limit(25, 5).df
 
 
 def _keys(spark, d):
