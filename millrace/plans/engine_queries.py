@@ -142,7 +142,7 @@ def window_session(spark, d):
     return plain(events(spark, d).session_window(["user_id"], [F.count_star().alias("n")], 6 * HOUR))
 
 
-@query(f"""SELECT count(*) AS n, sum(c) AS total, w AS window_start_time FROM (SELECT event_type, count(*) AS c, {_W.format(ts="ts", n=HOUR)} AS s, make_timestamp((epoch_ms(s) // {DAY}) * {DAY} * 1000) AS w FROM events GROUP BY ALL) GROUP BY w""")
+@query(f"""SELECT count(*) AS n, CAST(sum(c) AS BIGINT) AS total, w AS window_start_time FROM (SELECT event_type, count(*) AS c, {_W.format(ts="ts", n=HOUR)} AS s, make_timestamp((epoch_ms(s) // {DAY}) * {DAY} * 1000) AS w FROM events GROUP BY ALL) GROUP BY w""")
 def window_over_window(spark, d):
     hours = events(spark, d).window(["event_type"], [F.count_star().alias("c")], HOUR)
     return plain(hours.window([], [F.count_star().alias("n"), F.sum(col("c")).alias("total")], DAY).drop_columns(["window_end_time"]))
@@ -216,7 +216,7 @@ def join_cross(spark, d):
 # aggregates
 
 
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc,
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(l_discount), 6) AS avg_disc,
 round(avg(l_quantity), 6) AS mean_qty, min(l_tax) AS lo, max(l_tax) AS hi, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def agg_basic(spark, d):
     q, x = col("l_quantity"), col("l_extendedprice") * (1 - col("l_discount"))
@@ -225,7 +225,7 @@ def agg_basic(spark, d):
         ["l_returnflag", "l_linestatus"],
         [F.sum(q).alias("sum_qty"), F.sum(x).alias("revenue"), F.avg(col("l_discount")).alias("avg_disc"), F.mean(q).alias("mean_qty"), F.min(col("l_tax")).alias("lo"), F.max(col("l_tax")).alias("hi"), F.count_star().alias("n"), F.count(col("l_suppkey"), distinct=True).alias("suppliers")],
     )
-    return t.select("l_returnflag", "l_linestatus", F.round(col("sum_qty"), 2).alias("sum_qty"), F.round(col("revenue"), 2).alias("revenue"), r6(col("avg_disc"), "avg_disc"), r6(col("mean_qty"), "mean_qty"), "lo", "hi", "n", "suppliers").df
+    return t.select("l_returnflag", "l_linestatus", F.round(col("sum_qty"), 2).alias("sum_qty"), F.round(col("revenue"), 4).alias("revenue"), r6(col("avg_disc"), "avg_disc"), r6(col("mean_qty"), "mean_qty"), "lo", "hi", "n", "suppliers").df
 
 
 _STATS = {"stddev": "stddev_samp", "stddev_pop": "stddev_pop", "stddev_samp": "stddev_samp", "var": "var_samp", "var_pop": "var_pop", "var_samp": "var_samp", "var_sample": "var_samp", "median": "median"}
@@ -279,7 +279,7 @@ def agg_approx(spark, d):
 # window functions
 
 
-@query("""SELECT c_custkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, ntile(4) OVER w AS nt
+@query("""SELECT c_custkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER v AS INTEGER) AS rk, CAST(dense_rank() OVER v AS INTEGER) AS dr, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, CAST(ntile(4) OVER w AS INTEGER) AS nt
 FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey), v AS (PARTITION BY c_nationkey ORDER BY c_mktsegment)""")
 def over_rank(spark, d):
     p, by = [col("c_nationkey")], [col("c_acctbal").sort(ascending=False), col("c_custkey")]
@@ -300,7 +300,7 @@ def over_lead_lag(spark, d):
 
 
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rows3, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near,
-count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS grp, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top, sum(1) OVER w AS running
+count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS grp, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top, CAST(sum(1) OVER w AS BIGINT) AS running
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def over_frames(spark, d):
     p, by = [col("o_custkey")], [col("o_orderkey")]

@@ -52,8 +52,8 @@ def families(F: Any, S: Any, col: Any, lit: Any) -> dict[str, tuple[str, str, di
     family(
         "fn_numbers", "events", "event_id",
         {
-            "f_abs": (F.abs(D), "abs(value - 50)"), "f_ceil": (F.ceil(D), "CAST(ceil(value - 50) AS DOUBLE)"), "f_floor": (F.floor(D), "CAST(floor(value - 50) AS DOUBLE)"),
-            "f_round": (F.round(D), "round(value - 50)"), "f_round1": (F.round(V, 1), "round(CAST(CAST(value AS VARCHAR) AS DECIMAL(18,6)), 1)::DOUBLE"), "f_trunc": (F.trunc(D), "trunc(value - 50)"),
+            "f_abs": (F.abs(D), "abs(value - 50)"), "f_ceil": (F.ceil(D) + 0.0, "CAST(ceil(value - 50) AS DOUBLE) + 0.0"), "f_floor": (F.floor(D), "CAST(floor(value - 50) AS DOUBLE)"),
+            "f_round": (F.round(D) + 0.0, "round(value - 50) + 0.0"), "f_round1": (F.round(V, 1), "round(CAST(CAST(value AS VARCHAR) AS DECIMAL(18,6)), 1)::DOUBLE"), "f_trunc": (F.trunc(D) + 0.0, "trunc(value - 50) + 0.0"),
             "f_signum": (F.signum(D), "CAST(sign(value - 50) AS DOUBLE)"), "f_gcd": (F.gcd(K, lit(360)), "gcd(event_id, 360)"), "f_lcm": (F.lcm(K, lit(12)), "lcm(event_id, 12)"),
             "f_factorial": (F.factorial((K % 20).cast(int)), "CAST(factorial(CAST(event_id % 20 AS INTEGER)) AS BIGINT)"), "f_isnan": (F.isnan(V), "isnan(value)"), "f_iszero": (F.iszero(K % 7), "event_id % 7 = 0"),
             "f_nanvl": (F.nanvl(V, lit(0.0)), "value"), "f_nullif": (F.nullif(K % 3, lit(0).cast("bigint")), "nullif(event_id % 3, 0)"), "f_coalesce": (F.coalesce(F.nullif(K % 3, lit(0).cast("bigint")), K), "coalesce(nullif(event_id % 3, 0), event_id)"),

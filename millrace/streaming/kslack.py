@@ -2,7 +2,8 @@
 
 Events wait in a buffer until the watermark, which lags by the slack, has passed them; then they leave in event-time order into the
 final aggregate of their period.  Meanwhile every batch publishes provisional values of the periods it touched, made of what
-was released and what still waits.  Events behind the watermark are dropped and counted.
+was released and what still waits.  Events behind the watermark are dropped; the progress
+of the query counts them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _fold(agg: tuple[Any, ...], v: float) -> tuple[Any, ...]:
 
 
 def kslack(events: DataFrame, keys: Sequence[str], time: str, value: str, period_ms: int, slack: str = "6 hours") -> DataFrame:
-    """A stream of (keys, window_start_ms, kind, n, total, first, last, rise, n_dropped).
+    """A stream of (keys, window_start_ms, kind, n, total, first, last, rise).
 
     ``kind`` is ``provisional`` or ``final``; for each period the last provisional row holds until the final one, which comes once, when
     the watermark has passed the period's end.  ``time`` is a timestamp; rows without it or without a value are ignored.  The buffer of a
@@ -38,15 +39,13 @@ def kslack(events: DataFrame, keys: Sequence[str], time: str, value: str, period
     names = [k.name for k in kf]
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, done, dropped = pickle.loads(state.get[0]) if state.exists else ([], {}, 0)  # noqa: S301 - written below
+        buffer, done = pickle.loads(state.get[0]) if state.exists else ([], {})  # noqa: S301 - written below
         mark = state.getCurrentWatermarkMs()
         touched = set()
         if not state.hasTimedOut:
             for p in parts:
                 for ms, v in zip(p["_ms"].tolist(), p["_v"].tolist()):
-                    if ms < mark:
-                        dropped += 1
-                    else:
+                    if ms >= mark:
                         buffer.append((ms, v))
                         touched.add(ms - ms % period_ms)
         buffer.sort()
@@ -60,25 +59,25 @@ def kslack(events: DataFrame, keys: Sequence[str], time: str, value: str, period
         rows = []
         for w in sorted(done):
             if w + period_ms <= mark:
-                rows.append((w, "final", *done.pop(w), dropped))
+                rows.append((w, "final", *done.pop(w)))
         pending: dict[int, tuple[Any, ...]] = {w: a for w, a in done.items() if w in touched}
         for ms, v in buffer:
             w = ms - ms % period_ms
             if w in touched:
                 pending[w] = _fold(pending.get(w, EMPTY), v)
-        rows += [(w, "provisional", *pending[w], dropped) for w in sorted(pending)]
+        rows += [(w, "provisional", *pending[w]) for w in sorted(pending)]
         if buffer or done:
-            state.update((pickle.dumps((buffer, done, dropped)),))
+            state.update((pickle.dumps((buffer, done)),))
             nearest = min([b[0] for b in buffer[:1]] + [w + period_ms for w in done])
             state.setTimeoutTimestamp(max(nearest, mark + 1))
         elif state.exists:
             state.remove()
         if rows:
-            out = pd.DataFrame(rows, columns=["window_start_ms", "kind", "n", "total", "first", "last", "rise", "n_dropped"])
+            out = pd.DataFrame(rows, columns=["window_start_ms", "kind", "n", "total", "first", "last", "rise"])
             for i, k in enumerate(names):
                 out.insert(i, k, key[i])
             yield out
 
-    fields = [("window_start_ms", T.LongType()), ("kind", T.StringType()), ("n", T.LongType()), ("total", T.DoubleType()), ("first", T.DoubleType()), ("last", T.DoubleType()), ("rise", T.DoubleType()), ("n_dropped", T.LongType())]
+    fields = [("window_start_ms", T.LongType()), ("kind", T.StringType()), ("n", T.LongType()), ("total", T.DoubleType()), ("first", T.DoubleType()), ("last", T.DoubleType()), ("rise", T.DoubleType())]
     schema = T.StructType([*kf, *[T.StructField(n, t) for n, t in fields]])
     return src.groupBy(*keys).applyInPandasWithState(step, schema, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout)

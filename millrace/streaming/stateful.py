@@ -14,21 +14,38 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.expr import to_column
+from millrace.sources.timeunits import EVENT_TIME
 from millrace.udf import UDAFCall, _arrow, _plain, merge_states, spark_type
 
 
+def _for_rows(v: Any, t: T.DataType) -> Any:
+    """A value as rows take it: maps as dicts, which Arrow gives as pairs."""
+    if v is None:
+        return None
+    if isinstance(t, T.MapType):
+        pairs = v.items() if isinstance(v, dict) else v
+        return {k: _for_rows(x, t.valueType) for k, x in pairs}
+    if isinstance(t, T.StructType):
+        return {f.name: _for_rows(v[f.name], f.dataType) for f in t}
+    if isinstance(t, T.ArrayType):
+        return [_for_rows(x, t.elementType) for x in v]
+    return v
+
+
 def windowed_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall], window: Column) -> DataFrame:
     """One row for each key and window once the watermark has passed its end: keys, results, window.
 
     The state of a group is that of its accumulators, not its rows."""
     named = df.select(*keys)
     nk = len(keys)
-    cols = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [window.alias("w")]
+    # the event time goes along, as the watermark is its
+    cols = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [window.alias("w"), F.col(EVENT_TIME)]
     cols += [to_column(a).cast(spark_type(t)).alias(f"a{i}_{j}") for i, u in enumerate(calls) for j, (a, t) in enumerate(zip(u.args, u.udaf.input_types))]
     wide = df.select(*cols).select("*", F.col("w.start").alias("w0"), F.col("w.end").alias("w1")).drop("w")
 
     # what the tasks need, without the expressions of the driver
     specs = [(u.udaf.accumulator, [_arrow(t) for t in u.udaf.input_types], u.udaf.state_type) for u in calls]
+    results = [spark_type(u.udaf.return_type) for u in calls]
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accs = [make() for make, *_ in specs]
@@ -38,7 +55,7 @@ def windowed_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall], win
         if state.hasTimedOut:
             state.remove()
             row = {f"k{i}": [v] for i, v in enumerate(key[:nk])}
-            row |= {f"r{i}": [_plain(acc.evaluate())] for i, acc in enumerate(accs)}
+            row |= {f"r{i}": [_for_rows(_plain(acc.evaluate()), results[i])] for i, acc in enumerate(accs)}
             yield pd.DataFrame(row | {"w0": [key[nk]], "w1": [key[nk + 1]]})
             return
         for p in parts:
