@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.expr import to_column
-from millrace.sources.timeunits import EVENT_TIME
 from millrace.udf import UDAFCall, _arrow, _plain, merge_states, spark_type
 
 
@@ -38,10 +37,10 @@ def windowed_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall], win
     The state of a group is that of its accumulators, not its rows."""
     named = df.select(*keys)
     nk = len(keys)
-    # the event time goes along, as the watermark is its
-    cols = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [window.alias("w"), F.col(EVENT_TIME)]
+    cols = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [window.alias("w")]
     cols += [to_column(a).cast(spark_type(t)).alias(f"a{i}_{j}") for i, u in enumerate(calls) for j, (a, t) in enumerate(zip(u.args, u.udaf.input_types))]
-    wide = df.select(*cols).select("*", F.col("w.start").alias("w0"), F.col("w.end").alias("w1")).drop("w")
+    # the time of the window goes along: a row is late when its window is closed
+    wide = df.select(*cols).select("*", F.window_time("w").alias("_time"), F.col("w.start").alias("w0"), F.col("w.end").alias("w1")).drop("w")
 
     # what the tasks need, without the expressions of the driver
     specs = [(u.udaf.accumulator, [_arrow(t) for t in u.udaf.input_types], u.udaf.state_type) for u in calls]
