@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,13 @@ MOST_BROADCAST = 200_000
 class Settings:
     vocabulary: int = 8192
     rank: int = 48
-    rounds: int = 2
+    rounds: int = 4
     power: int = 3
     refine: int = 3
     near: float = 0.3  # least cosine of a text and its centroid
     term_near: float = 0.15  # least cosine of a term and a centroid of its subject
-    least: tuple[int, ...] = (3, 4)  # texts that a term must occur in, by round
-    pure: tuple[float, ...] = (0.6, 0.7)  # least share of its main subject
+    least: tuple[int, ...] = (2, 3)  # texts that a term must occur in, by round
+    pure: tuple[float, ...] = (0.9, 0.7)  # least share of its main subject
     mentions: int = 2
     default: str = "software"
     seed: int = 1
@@ -65,17 +66,41 @@ class Model:
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
+    @cached_property
+    def places(self) -> _Places:
+        return _Places(self.terms)
+
 
 def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
 
 
-def _look_up(terms: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The place of each id in ``terms``, -1 if it is none."""
-    if not len(terms) or not len(ids):
-        return np.full(len(ids), -1)
-    at = np.minimum(np.searchsorted(terms, ids), len(terms) - 1)
-    return np.where(terms[at] == ids, at, -1)
+_SIEVE = 1 << 20
+
+
+class _Places:
+    """Where ids stand among sorted terms; most ids are none of them and fall through a sieve of bits."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
+        self.sieve = np.zeros(_SIEVE, bool)
+        self.sieve[terms & (_SIEVE - 1)] = True
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions in ``ids`` that hold a term, and the place of that term."""
+        if not len(self.terms):
+            return np.zeros(0, int), np.zeros(0, int)
+        some = np.flatnonzero(self.sieve[ids & (_SIEVE - 1)])
+        at = np.minimum(np.searchsorted(self.terms, ids[some]), len(self.terms) - 1)
+        hit = self.terms[at] == ids[some]
+        return some[hit], at[hit]
+
+    def all(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id, -1 if it is no term."""
+        out = np.full(len(ids), -1)
+        i, at = self.find(ids)
+        out[i] = at
+        return out
 
 
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +122,8 @@ def _terms_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
 def _weighted(model: Model, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of the matrix for some texts, each of length 1: (text, column, value), by text and column."""
     ids, text = _terms_of(words, lengths)
-    at = _look_up(model.terms, ids)
-    hit = at >= 0
-    key, n = np.unique(text[hit] * np.int64(max(1, len(model.terms))) + at[hit], return_counts=True)
+    hit, at = model.places.find(ids)
+    key, n = np.unique(text[hit] * np.int64(max(1, len(model.terms))) + at, return_counts=True)
     row, col = key // max(1, len(model.terms)), key % max(1, len(model.terms))
     x = (1 + np.log(n)) * model.weight[col]
     norm = np.sqrt(np.bincount(row, x * x, len(lengths)))
@@ -161,35 +185,30 @@ def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.nda
     most = 4_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # terms and their subjects in one number
         sizes = np.zeros(n, np.int64)
 
         def out() -> pa.RecordBatch:
-            a = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+            key, k = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
             held.clear()
-            order = np.lexsort((a[:, 1], a[:, 0]))
-            a = a[order]
-            first = np.flatnonzero(np.r_[True, (np.diff(a[:, 0]) != 0) | (np.diff(a[:, 1]) != 0)]) if len(a) else np.zeros(0, int)
-            k = np.diff(np.r_[first, len(a)])
-            t = np.r_[a[first, 0], np.full(n, -1)]
-            s = np.r_[a[first, 1], np.arange(n)]
+            t = np.r_[key >> 8, np.full(n, -1)]
+            s = np.r_[key & 255, np.arange(n)]
             k = np.r_[k, sizes]
             sizes[:] = 0
             return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s.astype(np.int32)), pa.array(k, pa.int64())], ["term", "s", "n"])
 
         total = 0
-        for b in batches:
+        for b in (w.slice(i, 1 << 19) for w in batches for i in range(0, max(1, w.num_rows), 1 << 19)):
             subject = subject_of(b)
             words, lengths = _flat(b, "ids")
             ids, text = _terms_of(words, lengths)
             use = subject[text] >= 0
             ids, text = ids[use], text[use]
-            order = np.lexsort((text, ids))
-            ids, text = ids[order], text[order]
-            once = np.r_[True, (np.diff(ids) != 0) | (np.diff(text) != 0)] if len(ids) else np.zeros(0, bool)
-            held.append(np.column_stack([ids[once], subject[text[once]]]))
+            # each term once a text: 44 bits of term and 19 of text in one number to sort
+            key = np.unique((ids << 19) | text)
+            held.append(((key >> 19) << 8) | subject[key & 0x7FFFF])
             sizes += np.bincount(subject[subject >= 0], minlength=n)
-            total += int(once.sum())
+            total += len(key)
             if total >= most:
                 yield out()
                 total = 0
@@ -350,10 +369,10 @@ def _mentions(model: Model, subject: np.ndarray, words: np.ndarray, lengths: np.
         return out
     text = np.repeat(np.arange(len(lengths)), lengths)
     ext = np.r_[subject, -1]
-    token = ext[_look_up(model.terms, words)]
+    token = ext[model.places.all(words)]
     if len(words) > 1:
         inside = text[1:] == text[:-1]
-        pair = np.where(inside, ext[_look_up(model.terms, pair_ids(words))], -1)
+        pair = np.where(inside, ext[model.places.all(pair_ids(words))], -1)
         k = np.flatnonzero(pair >= 0)  # a pair decides both its words
         token[k] = pair[k]
         token[k + 1] = pair[k]
@@ -373,9 +392,9 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
     labels every text has the default subject.  ``documents`` needs doc_id and text; other columns are ignored.
     """
     s = settings or Settings()
-    found = subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().limit(1001).collect()
-    if not 0 < len(found) <= 1000:
-        raise ValueError("between 1 and 1000 subjects are expected")
+    found = subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().limit(257).collect()
+    if not 0 < len(found) <= 256:
+        raise ValueError("between 1 and 256 subjects are expected")
     names = sorted(r["subject"] for r in found)
     n = len(names)
     default = names.index(s.default) if s.default in names else 0
@@ -399,8 +418,8 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
             label = labelled(b)
             return np.where(label >= 0, label, z)
 
-        i = min(r, len(s.least) - 1)
-        model, sizes = _choose(spark, _count_terms(texts, nearest, n), n, s.least[i], s.pure[i], s.vocabulary)
+        least, pure = s.least[min(r, len(s.least) - 1)], s.pure[min(r, len(s.pure) - 1)]
+        model, sizes = _choose(spark, _count_terms(texts, nearest, n), n, least, pure, s.vocabulary)
         model = _fit(spark, texts, model, sizes, s)
     subject = _term_subjects(model, n, s.term_near)
 
@@ -412,8 +431,9 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
             weak = np.flatnonzero(m.max(1) < s.mentions)
             best = np.full(len(weak), default)
             if len(weak) and len(subject):  # the nearest of the subjects mentioned once, or else of all
-                r, c, x = _weighted(model, words, lengths)
-                cos = _by_subject(_unit(_embed(r, c, x, len(lengths), model.vectors)[weak]) @ model.centroids.T, model.owner, n)
+                some_words = words[np.isin(np.repeat(np.arange(len(lengths)), lengths), weak)]
+                r, c, x = _weighted(model, some_words, lengths[weak])
+                cos = _by_subject(_unit(_embed(r, c, x, len(weak), model.vectors)) @ model.centroids.T, model.owner, n)
                 some = m[weak].max(1) > 0
                 best = np.where(some, np.where(m[weak] > 0, cos, -2).argmax(1), np.where(cos.max(1) >= s.near, cos.argmax(1), default))
             row, at = np.r_[row, weak], np.r_[at, best]

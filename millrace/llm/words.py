@@ -82,5 +82,6 @@ class Words:
 
 
 def pair_ids(ids: np.ndarray) -> np.ndarray:
-    """Ids of neighbouring words, one fewer than the words; no word has such an id."""
-    return (ids[:-1] + 1 << 31) | ids[1:]
+    """44-bit ids of neighbouring words, one fewer than the words; no word has such an id."""
+    mixed = (ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(21)).astype(np.int64) | (1 << 43)
