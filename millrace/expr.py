@@ -9,6 +9,7 @@ from enum import Enum
 from typing import Any
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -407,7 +408,16 @@ class CaseBuilder:
         return Expr(self._chain(), variant="Case", operator="CASE")
 
 
+def _session() -> None:
+    """Expressions are Spark's from the start, so the first one starts a session if there is none."""
+    from pyspark.sql import SparkSession
+
+    if SparkSession.getActiveSession() is None and SparkContext._active_spark_context is None:
+        SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
 def col(name: str) -> Expr:
+    _session()
     return Expr(F.col(name), variant="Column", name=None, operands=[], value=name)
 
 
@@ -419,6 +429,7 @@ def lit(value: Any) -> Expr:
         return value
     if isinstance(value, pa.Scalar):
         value = value.as_py()
+    _session()
     return Expr(F.lit(value), variant="Literal", value=value, is_literal=True)
 
 

@@ -229,3 +229,13 @@ def test_topics(spark):
     with pytest.raises(ValueError):
         Context(spark).from_topic("x")
     assert str(s) == repr(s) == "DataStream" and str(Context(spark)) == "Context"
+
+
+def test_names_of_types_and_nodes(ctx, t):
+    from millrace import common
+
+    assert len(common.VARIANTS) == 55
+    assert common.DataTypeMap.of(pa.int64()).sql_type is common.SqlType.BIGINT and common.DataTypeMap.of(pa.list_(pa.int8())).python_type is common.PythonType.List
+    names = common.plan_nodes(t.filter(col("k") > 1).aggregate("s", [F.count_star().alias("n")]).sort(col("s")).limit(3))
+    assert "Aggregate" in names
+    assert len(common.expr_list_to_raw_expr_list([col("k"), 1])) == 2 and common.sort_list_to_raw_sort_list(None) is None
