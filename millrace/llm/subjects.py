@@ -205,7 +205,8 @@ def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.nda
             use = subject[text] >= 0
             ids, text = ids[use], text[use]
             # each term once a text: 44 bits of term and 19 of text in one number to sort
-            key = np.unique((ids << 19) | text)
+            key = np.sort((ids << 19) | text)
+            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             held.append(((key >> 19) << 8) | subject[key & 0x7FFFF])
             sizes += np.bincount(subject[subject >= 0], minlength=n)
             total += len(key)
