@@ -30,7 +30,7 @@ def _placed(measurements: DataFrame) -> DataFrame:
     at = F.coalesce(
         F.when(v >= LEAST_EVENT_MS, v),
         F.when((v >= LEAST_EVENT_MS // 1000) & (v < 10 * LEAST_EVENT_MS // 1000), v * 1000),
-        F.unix_millis("kafka_timestamp"),
+        F.unix_millis(F.col("kafka_timestamp").cast("timestamp")),
     )
     return measurements.select("msg_id", "topic", sensor().alias("sensor_name"), at.alias("at"), number().alias("reading")).filter(F.col("reading").isNotNull())
 

@@ -256,6 +256,10 @@ def find_faults(x: np.ndarray, t: np.ndarray, lo: float, hi: float, limit: float
         return out
     y, s = x[keep], t[keep]
     stuck = still_runs(y)
+    # a correction of a held reading stands at its time
+    same = np.diff(s) == 0
+    stuck[1:] |= same & stuck[:-1]
+    stuck[:-1] |= same & stuck[1:]
     out[keep[stuck]] = STUCK
     rest = np.flatnonzero(~stuck)
     if len(rest) < 5:
