@@ -117,6 +117,13 @@ class Spec:
         return self.make(self)
 
 
+class _ColumnOf:
+    """On an expression its Column; on the class a maker of column references."""
+
+    def __get__(self, e: Expr | None, owner: type) -> Any:
+        return col if e is None else e._built()
+
+
 class Expr:
     """An expression.  Comparisons and arithmetic give expressions; so ``==`` is no equality of objects."""
 
@@ -127,8 +134,9 @@ class Expr:
         self._name, self._operands, self._operator = name, list(operands), operator
         self._value, self.is_literal = value, is_literal
 
-    @property
-    def column(self) -> Column:
+    column = _ColumnOf()
+
+    def _built(self) -> Column:
         c = self.spec.column() if self.spec is not None else self._column
         return c.alias(self._name) if self.spec is not None and self._name else c
 
@@ -263,10 +271,6 @@ class Expr:
     def literal(value: Any) -> Expr:
         return lit(value)
 
-    @staticmethod
-    def column_ref(name: str) -> Expr:
-        return col(name)
-
     def alias(self, name: str) -> Expr:
         if self.spec is not None:
             return Expr(spec=self.spec, variant="Alias", name=name, operands=[self])

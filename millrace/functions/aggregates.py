@@ -210,7 +210,16 @@ def _over(name: str, make: Callable[[Spec], Column], partition_by: Sequence[Any]
 
 def _shift(name: str, spark: Callable[..., Column]):
     def f(arg: Any, shift_offset: int = 1, default_value: Any = None, partition_by: Sequence[Any] | None = None, order_by: Sequence[Any] | None = None) -> Expr:
-        return _over(name, lambda s: spark(c(s.args[0]), shift_offset, default_value), partition_by, order_by, arg)
+        def make(s: Spec) -> Column:
+            if not s.ignore_nulls():
+                return spark(c(s.args[0]), shift_offset, default_value)
+            # only the JVM's function can skip nulls
+            from pyspark import SparkContext
+
+            call = getattr(SparkContext._active_spark_context._jvm.org.apache.spark.sql.functions, name)
+            return Column(call(c(s.args[0])._jc, shift_offset, default_value, True))
+
+        return _over(name, make, partition_by, order_by, arg)
 
     f.__name__ = f.__qualname__ = name
     f.__doc__ = f"The value ``shift_offset`` rows {'ahead' if name == 'lead' else 'back'}, or ``default_value``."

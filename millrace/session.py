@@ -296,14 +296,17 @@ class SessionContext:
         """Needs Spark's Avro package."""
         return DataFrame(self._read("avro", path, schema, file_extension, file_partition_cols, {}))
 
-    def register_parquet(self, name: str, path: Any, **kw: Any) -> None:
-        self.register_table(name, self.read_parquet(path, **kw))
+    def register_parquet(self, name: str, path: Any, *args: Any, **kw: Any) -> None:
+        """As :meth:`read_parquet`, under a name."""
+        self.register_table(name, self.read_parquet(path, *args, **kw))
 
-    def register_csv(self, name: str, path: Any, **kw: Any) -> None:
-        self.register_table(name, self.read_csv(path, **kw))
+    def register_csv(self, name: str, path: Any, *args: Any, **kw: Any) -> None:
+        """As :meth:`read_csv`, under a name."""
+        self.register_table(name, self.read_csv(path, *args, **kw))
 
-    def register_json(self, name: str, path: Any, **kw: Any) -> None:
-        self.register_table(name, self.read_json(path, **kw))
+    def register_json(self, name: str, path: Any, *args: Any, **kw: Any) -> None:
+        """As :meth:`read_json`, under a name."""
+        self.register_table(name, self.read_json(path, *args, **kw))
 
     def register_avro(self, name: str, path: Any, schema: pa.Schema | None = None, file_extension: str = ".avro", table_partition_cols: Sequence[Any] | None = None) -> None:
         self.register_table(name, self.read_avro(path, schema, table_partition_cols, file_extension))

@@ -49,6 +49,9 @@ def test_refinements(t):
     assert by.to_pylist() == [{"n": 1, "a": ["b", "a", None, "a"], "d": 2}]
     last = F.last_value(col("v")).null_treatment(NullTreatment.IGNORE_NULLS).build().over([col("k")], [col("s")], WindowFrame("rows", None, None)).alias("l")
     assert [r["l"] for r in t.filter(col("k") == 1).select(last).to_pylist()] == [1.5, 1.5]
+    before = F.lag(col("v"), 1, None, None, [col("s").sort(nulls_first=False), col("v")]).null_treatment(NullTreatment.IGNORE_NULLS).build().alias("b")
+    assert [r["b"] for r in t.sort(col("s").sort(nulls_first=False), col("v")).select(before).to_pylist()] == [None, 1.5, 4.0, 4.0]
+    assert t.select(Expr.column("k")).count() == 4 and Expr.literal(1).python_value() == 1
     f = WindowFrame("range", 2, None)
     assert f.get_frame_units() == "range" and f.get_lower_bound().get_offset() == 2 and f.get_upper_bound().is_unbounded() and f.get_lower_bound().is_preceding()
     assert WindowFrame("rows", 0, 0).get_upper_bound().is_current_row()
