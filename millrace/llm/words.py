@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = re.compile(r"[A-Za-z]{3,}")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 #: Latin words under this length are dropped; so many split words are kept in a worker.
@@ -68,17 +70,16 @@ class Words:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
-        known = self.known
-        for token in _WORD.findall(plain(text)) if text else ():
-            got = known.get(token)
-            if got is None:
-                got = tuple(word_id(p) for p in pieces(token))
-                if len(known) >= KEPT:
-                    known.clear()
-                known[token] = got
-            out.extend(got)
-        return np.array(out, np.int64)
+        text = plain(text) if text else ""
+        # the same words, without those that :func:`pieces` drops anyway
+        tokens = (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
+        new = set(tokens).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+                new = set(tokens)
+            self.known.update((t, tuple(word_id(p) for p in pieces(t))) for t in new)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, tokens)), np.int64)
 
 
 def pair_ids(ids: np.ndarray) -> np.ndarray:
