@@ -181,21 +181,16 @@ def seeds(labels: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.ndarray], n: int) -> DataFrame:
-    """(term, n0, n1, ...): in how many texts of each subject a term occurs; and one row of term -1 with all texts."""
+    """(term, n0, n1, ...): in how many texts of each subject a term occurs."""
     most = 4_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # terms and their subjects in one number
-        sizes = np.zeros(n, np.int64)
 
         def out() -> pa.RecordBatch:
             key, k = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
             held.clear()
-            t = np.r_[key >> 8, np.full(n, -1)]
-            s = np.r_[key & 255, np.arange(n)]
-            k = np.r_[k, sizes]
-            sizes[:] = 0
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s.astype(np.int32)), pa.array(k, pa.int64())], ["term", "s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key >> 8, pa.int64()), pa.array((key & 255).astype(np.int32)), pa.array(k, pa.int64())], ["term", "s", "n"])
 
         total = 0
         for b in (w.slice(i, 1 << 19) for w in batches for i in range(0, max(1, w.num_rows), 1 << 19)):
@@ -208,7 +203,6 @@ def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.nda
             key = np.sort((ids << 19) | text)
             key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             held.append(((key >> 19) << 8) | subject[key & 0x7FFFF])
-            sizes += np.bincount(subject[subject >= 0], minlength=n)
             total += len(key)
             if total >= most:
                 yield out()
@@ -220,11 +214,9 @@ def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.nda
     return rows.repartition("term").groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(n)])
 
 
-def _choose(spark: SparkSession, counted: DataFrame, n: int, least: int, pure: float, most: int) -> tuple[Model, np.ndarray]:
-    """The vocabulary of a round, and how many texts each subject has."""
-    counted = checkpointed(spark, counted.filter((F.col("term") == -1) | (sum(F.col(f"n{i}") for i in range(n)) >= least)))
-    size = counted.filter("term = -1").collect()
-    sizes = np.array([size[0][f"n{i}"] for i in range(n)]) if size else np.zeros(n, int)
+def _choose(counted: DataFrame, sizes: np.ndarray, least: int, pure: float, most: int) -> Model:
+    """The vocabulary of a round, of counts among ``sizes`` texts of each subject."""
+    n = len(sizes)
 
     def shares(more: float) -> list:
         rate = [(F.col(f"n{i}") + more) / float(max(1, sizes[i])) for i in range(n)]
@@ -237,7 +229,7 @@ def _choose(spark: SparkSession, counted: DataFrame, n: int, least: int, pure: f
 
     total = sum(F.col(f"n{i}") for i in range(n))
     rows = (
-        counted.filter("term >= 0")
+        counted.filter(total >= least)
         # in the order of choice, half a text more of every subject: a term of few texts, which may be copies of one, proves little
         .select("term", total.alias("total"), purity(share).alias("w"), purity(shares(0.5)).alias("sure"), F.greatest(*share, F.lit(0.0)).alias("main"), F.array(*share).alias("share"))
         .filter(F.col("main") >= pure)
@@ -250,7 +242,7 @@ def _choose(spark: SparkSession, counted: DataFrame, n: int, least: int, pure: f
     df = np.array([r["total"] for r in rows], float)
     weight = np.array([r["w"] for r in rows]) * np.log(max(2, sizes.sum()) / np.maximum(df, 1)).clip(0.1)
     heft = np.array([r["w"] for r in rows]) * np.sqrt(df)
-    return Model(np.array([r["term"] for r in rows], np.int64), weight, np.array([r["top"] for r in rows], int), heft), sizes
+    return Model(np.array([r["term"] for r in rows], np.int64), weight, np.array([r["top"] for r in rows], int), heft)
 
 
 def _sum_matrices(spark: SparkSession, rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
@@ -292,11 +284,11 @@ def _kmeans(x: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
     return c
 
 
-def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray, s: Settings) -> Model:
-    """Decomposes the matrix of ``texts`` and refines the centroids."""
+def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray, s: Settings) -> tuple[Model, np.ndarray]:
+    """Decomposes the matrix of ``texts`` and refines the centroids; and how many texts then are of each subject."""
     v, k = len(model.terms), min(s.rank, max(1, len(model.terms)))
     if not v:
-        return model
+        return model, sizes
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,10 +296,11 @@ def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray,
             row, col, x = _weighted(model, words, lengths)
             ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(lengths)))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(ends), pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.float32)))], ["col", "x"]
+                [pa.ListArray.from_arrays(pa.array(ends), pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.float32))), b["label"]],
+                ["col", "x", "label"],
             )
 
-    rows = checkpointed(spark, texts.select("ids").mapInArrow(rows_of, "col array<int>, x array<float>"))
+    rows = checkpointed(spark, texts.select("ids", "label").mapInArrow(rows_of, "col array<int>, x array<float>, label int"))
     # each task gives a whole matrix: not too few texts a task
     rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // TASK_TEXTS))))
 
@@ -351,7 +344,24 @@ def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray,
             return y
 
         c = _unit(_sum_matrices(spark, rows, nearest).reshape(len(c), k) + 1e-3 * c)
-    return Model(model.terms, model.weight, model.top, model.heft, q, c, own)
+    model = Model(model.terms, model.weight, model.top, model.heft, q, c, own)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        y = np.zeros((len(sizes), 1))
+        for b in batches:
+            row, col, x, n = unpacked(b)
+            z = _nearest(model, row, col, x, b["label"].to_numpy(), s.near)
+            y[:, 0] += np.bincount(z[z >= 0], minlength=len(sizes))
+        return y
+
+    return model, _sum_matrices(spark, rows, count).astype(int)
+
+
+def _nearest(model: Model, row: np.ndarray, col: np.ndarray, x: np.ndarray, label: np.ndarray, near: float) -> np.ndarray:
+    """The subject of each text: its label, or that of the nearest centroid, or -1."""
+    cos = _unit(_embed(row, col, x, len(label), model.vectors)) @ model.centroids.T
+    z = np.where(cos.max(1, initial=-1.0) > near, model.owner[cos.argmax(1)] if len(label) else 0, -1)
+    return np.where(label >= 0, label, z)
 
 
 def _term_subjects(model: Model, n: int, near: float) -> np.ndarray:
@@ -405,8 +415,11 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
     def labelled(b: pa.RecordBatch) -> np.ndarray:
         return b["label"].to_numpy().astype(int)
 
-    model, sizes = _choose(spark, _count_terms(texts.filter("label >= 0"), labelled, n), n, s.least[0], s.pure[0], s.vocabulary)
-    model = _fit(spark, texts, model, sizes, s)
+    sizes = np.zeros(n, int)
+    for r in texts.filter("label >= 0").groupBy("label").count().collect():
+        sizes[r["label"]] = r["count"]
+    model = _choose(_count_terms(texts.filter("label >= 0"), labelled, n), sizes, s.least[0], s.pure[0], s.vocabulary)
+    model, sizes = _fit(spark, texts, model, sizes, s)
     for r in range(1, s.rounds):
         if not len(model.terms):
             break
@@ -414,14 +427,11 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
         def nearest(b: pa.RecordBatch, m: Model = model) -> np.ndarray:
             words, lengths = _flat(b, "ids")
             row, col, x = _weighted(m, words, lengths)
-            cos = _unit(_embed(row, col, x, len(lengths), m.vectors)) @ m.centroids.T
-            z = np.where(cos.max(1, initial=-1.0) > s.near, m.owner[cos.argmax(1)], -1)
-            label = labelled(b)
-            return np.where(label >= 0, label, z)
+            return _nearest(m, row, col, x, labelled(b), s.near)
 
         least, pure = s.least[min(r, len(s.least) - 1)], s.pure[min(r, len(s.pure) - 1)]
-        model, sizes = _choose(spark, _count_terms(texts, nearest, n), n, least, pure, s.vocabulary)
-        model = _fit(spark, texts, model, sizes, s)
+        model = _choose(_count_terms(texts, nearest, n), sizes, least, pure, s.vocabulary)
+        model, sizes = _fit(spark, texts, model, sizes, s)
     subject = _term_subjects(model, n, s.term_near)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
