@@ -22,10 +22,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.words import Words, pair_ids
@@ -66,6 +67,9 @@ class Model:
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
+    def __getstate__(self) -> dict[str, Any]:
+        return {k: v for k, v in self.__dict__.items() if k != "places"}  # the tasks make their own
+
     @cached_property
     def places(self) -> _Places:
         return _Places(self.terms)
@@ -217,32 +221,35 @@ def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.nda
 def _choose(counted: DataFrame, sizes: np.ndarray, least: int, pure: float, most: int) -> Model:
     """The vocabulary of a round, of counts among ``sizes`` texts of each subject."""
     n = len(sizes)
+    many = np.maximum(1, sizes).astype(float)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.column_stack([b[f"n{i}"].to_numpy() for i in range(n)]).astype(float)
+            total = counts.sum(1)
+
+            def shares(more: float) -> np.ndarray:
+                rate = (counts + more) / many
+                return rate / rate.sum(1, keepdims=True)
 
-    def shares(more: float) -> list:
-        rate = [(F.col(f"n{i}") + more) / float(max(1, sizes[i])) for i in range(n)]
-        return [r / sum(rate) for r in rate]
+            def purity(p: np.ndarray) -> np.ndarray:
+                entropy = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1) / np.log(max(2, n))
+                return (1 - entropy) ** 2
 
-    share = shares(0.0)
-    def purity(p: list) -> Column:
-        entropy = -sum(F.when(x > 0, x * F.ln(x)).otherwise(0.0) for x in p) / float(np.log(max(2, n)))
-        return F.pow(1 - entropy, F.lit(2))
+            share = shares(0.0)
+            ok = share.max(1, initial=0.0) >= pure
+            # in the order of choice, half a text more of every subject: a term of few texts, which may be copies of one, proves little
+            order = purity(shares(0.5)) * np.sqrt(total)
+            cols = [b["term"].to_numpy(), total.astype(np.int64), purity(share), order, share.argmax(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cols], ["term", "total", "w", "rank", "top"])
 
     total = sum(F.col(f"n{i}") for i in range(n))
-    rows = (
-        counted.filter(total >= least)
-        # in the order of choice, half a text more of every subject: a term of few texts, which may be copies of one, proves little
-        .select("term", total.alias("total"), purity(share).alias("w"), purity(shares(0.5)).alias("sure"), F.greatest(*share, F.lit(0.0)).alias("main"), F.array(*share).alias("share"))
-        .filter(F.col("main") >= pure)
-        .orderBy((F.col("sure") * F.sqrt("total")).desc(), "term")
-        .limit(most)
-        .select("term", "total", "w", (F.array_position("share", F.col("main")) - 1).alias("top"))
-        .collect()
-    )
-    rows.sort(key=lambda r: r["term"])
+    found = counted.filter(total >= least).mapInArrow(weigh, "term long, total long, w double, rank double, top long")
+    rows = sorted(found.orderBy(F.col("rank").desc(), "term").limit(most).collect(), key=lambda r: r["term"])
     df = np.array([r["total"] for r in rows], float)
-    weight = np.array([r["w"] for r in rows]) * np.log(max(2, sizes.sum()) / np.maximum(df, 1)).clip(0.1)
-    heft = np.array([r["w"] for r in rows]) * np.sqrt(df)
-    return Model(np.array([r["term"] for r in rows], np.int64), weight, np.array([r["top"] for r in rows], int), heft)
+    pureness = np.array([r["w"] for r in rows])
+    weight = pureness * np.log(max(2, sizes.sum()) / np.maximum(df, 1)).clip(0.1)
+    return Model(np.array([r["term"] for r in rows], np.int64), weight, np.array([r["top"] for r in rows], int), pureness * np.sqrt(df))
 
 
 def _sum_matrices(spark: SparkSession, rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
@@ -311,7 +318,8 @@ def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray,
     q = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((v, k)))[0]
     for _ in range(s.power):
 
-        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> np.ndarray:
+        # what goes to the tasks is in single precision
+        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32)) -> np.ndarray:
             y = np.zeros((v, k))
             for b in batches:
                 row, col, x, n = unpacked(b)
@@ -330,38 +338,37 @@ def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray,
             centroids.append(c)
             owner += [i] * len(c)
     c, own = np.vstack(centroids), np.array(owner)
+    q, n = q.astype(np.float32), len(sizes)
     for _ in range(s.refine):
 
         def nearest(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> np.ndarray:
-            y = np.zeros((len(c), k))
+            y = np.zeros((len(c) + -(-n // k), k))  # the sums, and below them the texts of each subject
+            texts_of = y[len(c) :].reshape(-1)
             for b in batches:
-                row, col, x, n = unpacked(b)
-                e = _unit(_embed(row, col, x, n, q))
+                row, col, x, m = unpacked(b)
+                e = _unit(_embed(row, col, x, m, q))
                 cos = e @ c.T
                 z = cos.argmax(1)
-                use = cos.max(1) > s.near
+                use = cos.max(1, initial=-1.0) > s.near
                 np.add.at(y, z[use], e[use])
+                subject = _told(b["label"].to_numpy(), np.where(use, own[z], -1))
+                texts_of[:n] += np.bincount(subject[subject >= 0], minlength=n)
             return y
 
-        c = _unit(_sum_matrices(spark, rows, nearest).reshape(len(c), k) + 1e-3 * c)
-    model = Model(model.terms, model.weight, model.top, model.heft, q, c, own)
+        y = _sum_matrices(spark, rows, nearest).reshape(-1, k)
+        c, sizes = _unit(y[: len(c)] + 1e-3 * c), y[len(c) :].reshape(-1)[:n].astype(int)
+    return Model(model.terms, model.weight, model.top, model.heft, q, c.astype(np.float32), own), sizes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        y = np.zeros((len(sizes), 1))
-        for b in batches:
-            row, col, x, n = unpacked(b)
-            z = _nearest(model, row, col, x, b["label"].to_numpy(), s.near)
-            y[:, 0] += np.bincount(z[z >= 0], minlength=len(sizes))
-        return y
 
-    return model, _sum_matrices(spark, rows, count).astype(int)
+def _told(label: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The annotators' subject where there is one."""
+    return np.where(label >= 0, label, found)
 
 
 def _nearest(model: Model, row: np.ndarray, col: np.ndarray, x: np.ndarray, label: np.ndarray, near: float) -> np.ndarray:
     """The subject of each text: its label, or that of the nearest centroid, or -1."""
     cos = _unit(_embed(row, col, x, len(label), model.vectors)) @ model.centroids.T
-    z = np.where(cos.max(1, initial=-1.0) > near, model.owner[cos.argmax(1)] if len(label) else 0, -1)
-    return np.where(label >= 0, label, z)
+    return _told(label, np.where(cos.max(1, initial=-1.0) > near, model.owner[cos.argmax(1)], -1))
 
 
 def _term_subjects(model: Model, n: int, near: float) -> np.ndarray:
