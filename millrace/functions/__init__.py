@@ -13,7 +13,7 @@ from millrace.functions.aggregates import *  # noqa: F403
 from millrace.functions.arrays import *  # noqa: F403
 from millrace.functions.scalar import *  # noqa: F403
 
-_HIDDEN = {"c", "F", "re", "datetime", "Any", "Callable", "Sequence", "Column", "Expr", "Spec", "SortExpr", "CaseBuilder", "NullTreatment", "to_column", "as_sort", "annotations", "SAME", "ALIASES", "chrono_pattern", "stride_micros"}
+_HIDDEN = {"c", "F", "re", "datetime", "Any", "Callable", "Sequence", "Column", "Expr", "Spec", "SortExpr", "CaseBuilder", "NullTreatment", "to_column", "as_sort", "annotations", "SAME", "ALIASES", "chrono_pattern", "stride_micros", "range_"}
 
 
 def window(name: str, args: Sequence[Any], partition_by: Sequence[Any] | None = None, order_by: Sequence[Any] | None = None, window_frame: WindowFrame | None = None, ctx: Any = None) -> Expr:

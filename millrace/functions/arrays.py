@@ -11,6 +11,7 @@ from millrace.expr import Expr, to_column
 from millrace.functions.scalar import _call, _e
 
 c = to_column
+range_ = range  # the name is a function of the library below
 
 
 def make_array(*args: Any) -> Expr:
@@ -58,9 +59,12 @@ def array_ndims(array: Any) -> Expr:
 
 def array_dims(array: Any) -> Expr:
     """The length in each dimension, taken from first elements, up to six dimensions."""
-    j = F.to_json(F.struct(c(array).alias("a")))
-    sizes = [F.json_array_length(F.get_json_object(j, "$.a" + "[0]" * i)).cast("bigint") for i in (0, 1, 2, 3, 4, 5)]
-    return _e(F.when(c(array).isNotNull(), F.slice(F.array(*sizes), F.lit(1), c(array_ndims(array)).cast("int"))), array, name="array_dims")
+    # as text the depth need not be known: each level is the first element of the one before
+    levels = [F.to_json(c(array))]
+    for _ in range_(5):
+        levels.append(F.get_json_object(levels[-1], "$[0]"))
+    sizes = F.array(*[F.json_array_length(x).cast("bigint") for x in levels])
+    return _e(F.when(c(array).isNotNull(), F.slice(sizes, F.lit(1), c(array_ndims(array)).cast("int"))), array, name="array_dims")
 
 
 def array_distinct(array: Any) -> Expr:
