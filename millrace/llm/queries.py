@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import packing, quantiles, subjects, tokenize
 from millrace.operators.series import DAY_MS, without_copies
+from millrace.operators.spread import spread
 from millrace.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,18 +43,22 @@ def p1_period(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(_daily_sketch(spark, d), keys), keys, QUANTILES)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(spark, table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode(table(spark, d, "documents"))
+    return tokenize.encode(_documents(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of each text, or of each piece of one over 2,048 tokens."""
-    return packing.pack(spark, tokenize.count_tokens(table(spark, d, "documents")), 2048)
+    return packing.pack(spark, tokenize.count_tokens(_documents(spark, d)), 2048)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    t = [table(spark, d, x) for x in ("documents", "subjects", "subject_labels")]
-    return subjects.assign(spark, *t).select("doc_id", "subject")
+    t = [table(spark, d, x) for x in ("subjects", "subject_labels")]
+    return subjects.assign(spark, _documents(spark, d), *t).select("doc_id", "subject")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_daily, p1_buckets, p1_period, p7_ids, p8_containers, p9_found)}
