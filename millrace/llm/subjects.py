@@ -34,7 +34,7 @@ from millrace.operators.lineage import checkpointed
 from millrace.operators.series import bounded
 
 #: Terms of a block of the vocabulary that is summed as one value; partial results summed at a time; texts a task at least.
-BLOCK, FAN_IN, TASK_TEXTS = 512, 64, 20_000
+BLOCK, FAN_IN, TASK_TEXTS = 512, 64, 50_000
 #: Labelled texts up to this many are broadcast to the texts; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -43,13 +43,13 @@ MOST_BROADCAST = 200_000
 class Settings:
     vocabulary: int = 8192
     rank: int = 48
-    rounds: int = 4
+    rounds: int = 3
     power: int = 3
     refine: int = 3
     near: float = 0.3  # least cosine of a text and its centroid
     term_near: float = 0.15  # least cosine of a term and a centroid of its subject
     least: tuple[int, ...] = (2, 3)  # texts that a term must occur in, by round
-    pure: tuple[float, ...] = (0.9, 0.7)  # least share of its main subject
+    pure: tuple[float, ...] = (0.8, 0.6)  # least share of its main subject
     mentions: int = 2
     default: str = "software"
     seed: int = 1
