@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from millrace.expr import Expr, ExprFuncBuilder, WindowFrame, to_column
+from millrace.expr import Expr, WindowFrame, to_column
 from millrace.functions import aggregates as _aggregates
 from millrace.functions import arrays as _arrays
 from millrace.functions import scalar as _scalar

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import robust_ar
-from millrace.operators.series import HOUR_MS, LEAST_EVENT_MS, SERIES, hour_of, number, sensor
+from millrace.operators.series import LEAST_EVENT_MS, SERIES, hour_of, number, sensor
 
 #: The values a quantity can take: temperature (degrees Fahrenheit) from absolute zero to what an
 #: ambient sensor can report, humidity as a fraction.
@@ -55,25 +55,19 @@ def _shards(placed: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
 
 def _judge(limit: float):
     def judge(shard: pa.Table) -> pa.Table:
-        own, x = shard["own"].to_numpy(), shard["reading"].to_numpy()
-        at, ids = shard["at"].to_numpy(), shard["msg_id"].to_numpy()
-        order = np.lexsort((ids, at))
-        x, at, ids, own = x[order], at[order], ids[order], own[order]
-        lo, hi = LIMITS.get(shard["topic"][0].as_py(), (-np.inf, np.inf))
-        # equal readings at one time (copies) count once in the fit and share the finding
-        first = np.r_[True, (np.diff(at) != 0) | (np.diff(x) != 0)] if len(x) else np.zeros(0, bool)
-        if len(x) > 1:
-            by = np.lexsort((ids, x, at))
-            x, at, ids, own = x[by], at[by], ids[by], own[by]
-            first = np.r_[True, (np.diff(at) != 0) | (np.diff(x) != 0)]
-        group = np.cumsum(first) - 1
-        # within one time, arrival order
+        x, at = shard["reading"].to_numpy(), shard["at"].to_numpy()
+        ids, own = shard["msg_id"].to_numpy(), shard["own"].to_numpy()
+        # copies (equal readings at one time) are judged once and share the finding
+        by = np.lexsort((ids, x, at))
+        x, at, ids, own = x[by], at[by], ids[by], own[by]
+        first = np.r_[True, (np.diff(at) != 0) | (np.diff(x) != 0)]
         lead = np.flatnonzero(first)
-        seq = np.lexsort((ids[lead], at[lead]))
+        order = np.lexsort((ids[lead], at[lead]))  # within one time as they arrived
+        lo, hi = LIMITS.get(shard["topic"][0].as_py(), (-np.inf, np.inf))
         fault = np.zeros(len(lead), np.int8)
-        fault[seq] = robust_ar.find_faults(x[lead][seq].astype(float), at[lead][seq].astype(float), lo, hi, limit)
-        kind = fault[group]
-        hit = (kind != 0) & own
+        fault[order] = robust_ar.find_faults(x[lead][order], at[lead][order].astype(float), lo, hi, limit)
+        kind = fault[np.cumsum(first) - 1]
+        hit = (kind != robust_ar.NONE) & own
         return pa.table({"msg_id": pa.array(ids[hit], pa.int64()), "kind": pa.array([KINDS[k] for k in kind[hit].tolist()], pa.string())})
 
     return judge
@@ -103,6 +97,3 @@ def find_faults(measurements: DataFrame, limit: float = 6.0, shard_rows: int = 2
         out_of = out_of | ((F.col("topic") == topic) & ~F.col("reading").between(lo, hi))
     nowhere = placed.filter(F.col("sensor_name").isNull() | F.col("at").isNull()).filter(out_of)
     return judged.unionByName(nowhere.select("msg_id", F.lit("impossible").alias("kind")))
-
-
-__all__ = ["HOUR_MS", "LIMITS", "find_faults"]
