@@ -41,11 +41,11 @@ MOST_BROADCAST = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 8192
-    rank: int = 48
-    rounds: int = 3
-    power: int = 3
-    refine: int = 3
+    vocabulary: int = 16384
+    rank: int = 64
+    rounds: int = 4
+    power: int = 4
+    refine: int = 4
     near: float = 0.3  # least cosine of a text and its centroid
     term_near: float = 0.15  # least cosine of a term and a centroid of its subject
     least: tuple[int, ...] = (2, 3)  # texts that a term must occur in, by round

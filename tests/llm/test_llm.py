@@ -216,6 +216,13 @@ def test_subjects_of_a_made_corpus(spark):
     assert hit / len(rows) > 0.97 and hit / len(want) > 0.97
 
 
+def test_subjects_keep_every_term_of_a_wide_corpus(spark):
+    counted = spark.range(12_000).select(S.col("id").alias("term"), S.when(S.col("id") % 2 == 0, 5).otherwise(0).cast("long").alias("n0"), S.when(S.col("id") % 2 == 1, 5).otherwise(0).cast("long").alias("n1"))
+    s = subjects.Settings()
+    model = subjects._choose(counted, np.array([100, 100]), s.least[-1], s.pure[-1], s.vocabulary)
+    assert model.terms.tolist() == list(range(12_000))
+
+
 def test_subjects_awkward(spark):
     subj = spark.createDataFrame([("law", ""), ("software", ""), (None, "")], "subject string, about string")
     none = spark.createDataFrame([], "doc_id long, subject string, annotator string")
