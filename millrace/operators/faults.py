@@ -3,8 +3,9 @@
 The series are cut into time shards of about ``shard_rows`` readings, each with ``halo_rows``
 readings of its neighbours on either side, so that a series with a third of all rows is spread over
 many tasks, and each shard is judged by :func:`millrace.operators.robust_ar.find_faults`: a robust
-autoregression with iterative additive-outlier and level-shift tests.  The shard bounds come from
-hourly counts, pre-aggregated at the scan.
+autoregression with iterative additive-outlier and level-shift tests.  Stuck stretches are judged by
+the whole series: two passes before give its median step, and its still steps with the stretches that shard
+borders cut.  The shard bounds come from hourly counts, pre-aggregated at the scan.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ def _shards(placed: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
     upto = F.sum("n").over(by)
     hours = hours.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
     hours = hours.withColumn("part", F.dense_rank().over(Window.partitionBy(*SERIES).orderBy(F.floor(F.col("before") / shard_rows))))
+    # a short last part belongs to the one before
+    last_rows = F.max("upto").over(Window.partitionBy(*SERIES)) - F.min("before").over(Window.partitionBy(*SERIES, "part"))
+    short = (F.col("part") > 1) & (F.col("part") == F.max("part").over(Window.partitionBy(*SERIES))) & (2 * last_rows < shard_rows)
+    hours = hours.withColumn("part", F.when(short, F.col("part") - 1).otherwise(F.col("part")))
     one = Window.partitionBy(*SERIES, "part")
     hours = hours.withColumn("first", F.min("before").over(one)).withColumn("last", F.max("upto").over(one))
     last_part = F.max("part").over(Window.partitionBy(*SERIES))
@@ -53,22 +58,100 @@ def _shards(placed: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
     return hours.select(*SERIES, "hour", F.filter(places, lambda p: p.isNotNull()).alias("places"))
 
 
-def _judge(limit: float):
-    def judge(shard: pa.Table) -> pa.Table:
+class _Shard:
+    """The readings of a shard in time order, copies (equal readings at one time) once."""
+
+    def __init__(self, shard: pa.Table) -> None:
         x, at = shard["reading"].to_numpy(), shard["at"].to_numpy()
         ids, own = shard["msg_id"].to_numpy(), shard["own"].to_numpy()
-        # copies (equal readings at one time) are judged once and share the finding
         by = np.lexsort((ids, x, at))
-        x, at, ids, own = x[by], at[by], ids[by], own[by]
-        first = np.r_[True, (np.diff(at) != 0) | (np.diff(x) != 0)]
-        lead = np.flatnonzero(first)
-        order = np.lexsort((ids[lead], at[lead]))  # within one time as they arrived
-        lo, hi = LIMITS.get(shard["topic"][0].as_py(), (-np.inf, np.inf))
-        fault = np.zeros(len(lead), np.int8)
-        fault[order] = robust_ar.find_faults(x[lead][order], at[lead][order].astype(float), lo, hi, limit)
-        kind = fault[np.cumsum(first) - 1]
-        hit = (kind != robust_ar.NONE) & own
-        return pa.table({"msg_id": pa.array(ids[hit], pa.int64()), "kind": pa.array([KINDS[k] for k in kind[hit].tolist()], pa.string())})
+        x, at, self.ids, self.own = x[by], at[by], ids[by], own[by]
+        self.first = np.r_[True, (np.diff(at) != 0) | (np.diff(x) != 0)]
+        lead = np.flatnonzero(self.first)
+        self.order = np.lexsort((self.ids[lead], at[lead]))  # within one time as they arrived
+        lead = lead[self.order]
+        self.x, self.at, self.mine = x[lead], at[lead].astype(float), self.own[lead]
+        self.limits = LIMITS.get(shard["topic"][0].as_py(), (-np.inf, np.inf))
+        self.possible = (self.x >= self.limits[0]) & (self.x <= self.limits[1])
+        self.keys = [shard[k][0].as_py() for k in (*SERIES, "shard")]
+
+
+def _ends(own: np.ndarray) -> tuple[int, int]:
+    """The first and last own reading; none is an empty range at the start."""
+    at = np.flatnonzero(own)
+    return (int(at[0]), int(at[-1])) if len(at) else (0, -1)
+
+
+_KEYS = "topic string, sensor_name string, shard int"
+#: Steps of a series are counted in classes of this relative width for their median.
+_WIDTH = 0.005
+
+
+def _row(keys: list, **more: np.ndarray) -> pa.Table:
+    kinds = [pa.string(), pa.string(), pa.int32()]
+    cols = {k: pa.array([v], t) for k, v, t in zip((*SERIES, "shard"), keys, kinds)}
+    return pa.table(cols | {k: pa.array([np.asarray(v, float).tolist()], pa.list_(pa.float64())) for k, v in more.items()})
+
+
+def _steps(shard: pa.Table) -> pa.Table:
+    """The steps that lead to own readings, by classes of their size: class, count and sum."""
+    s = _Shard(shard)
+    x, mine = s.x[s.possible], s.mine[s.possible]
+    d = np.abs(np.diff(x))[mine[1:]]
+    with np.errstate(divide="ignore"):
+        kind = np.where(d > 1e-9, np.round(np.log(np.maximum(d, 1e-9)) / _WIDTH), -1e9)
+    key, at = np.unique(kind, return_inverse=True)
+    return _row(s.keys, kind=key, n=np.bincount(at, minlength=len(key)), total=np.bincount(at, d, len(key)))
+
+
+def _median_step(t: pa.Table) -> pa.Table:
+    """The median step of a series, for each of its shards."""
+    flat = [np.concatenate([np.asarray(v, float) for v in t[c].to_pylist()]) for c in ("kind", "n", "total")]
+    key, at = np.unique(flat[0], return_inverse=True)
+    n, total = np.bincount(at, flat[1], len(key)), np.bincount(at, flat[2], len(key))
+    step = 0.0
+    if n.sum():
+        k = int(np.searchsorted(np.cumsum(n), n.sum() / 2))
+        step = float(total[k] / n[k]) if key[k] > -1e9 else 0.0
+    return pa.table({"topic": t["topic"], "sensor_name": t["sensor_name"], "shard": t["shard"], "step": pa.array([step] * len(t), pa.float64())})
+
+
+def _held(shard: pa.Table, known: pa.Table) -> pa.Table:
+    """The held stretches of a shard by size, and those that its borders cut."""
+    s, step = _Shard(shard), known["step"][0].as_py()
+    x, mine = s.x[s.possible], s.mine[s.possible]
+    if not mine.any():
+        return _row(s.keys, head=[0, 0, step], cut=[0] * 10, size=[], steps=[])
+    sizes, steps, still, cut = robust_ar.edges(x, step, *_ends(mine))
+    size, at = np.unique(sizes, return_inverse=True)
+    return _row(s.keys, head=[mine.sum(), still, step], cut=cut, size=size, steps=np.bincount(at, steps, len(size)))
+
+
+def _known(t: pa.Table) -> pa.Table:
+    """What each shard of a series is told: step, length that is too long, and what lies beyond its borders."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["shard"])
+    n, still = (int(sum(r["head"][i] for r in rows)) for i in (0, 1))
+    size, steps = (np.concatenate([np.asarray(r[c], float) for r in rows]) for c in ("size", "steps"))
+    need = robust_ar.longest_still(n, still, size, steps)
+    beyond = robust_ar.carried([[int(v) for v in r["cut"]] for r in rows])
+    out = [_row([r["topic"], r["sensor_name"], r["shard"]], known=[r["head"][2], need, n, *a, *b]) for r, (a, b) in zip(rows, beyond)]
+    return pa.concat_tables(out)
+
+
+def _judge(limit: float):
+    def judge(shard: pa.Table, known: pa.Table) -> pa.Table:
+        s = _Shard(shard)
+        step, need, n, *beyond = known["known"][0].as_py()
+        left, right = (tuple(int(v) for v in beyond[i : i + 3]) for i in (0, 3))
+
+        def still(y: np.ndarray, keep: np.ndarray) -> np.ndarray:
+            return robust_ar.mark_still(y, step, need, *_ends(s.mine[keep]), left, right) if n > 10 else np.zeros(len(y), bool)
+
+        fault = np.zeros(len(s.x), np.int8)
+        fault[s.order] = robust_ar.find_faults(s.x, s.at, *s.limits, limit, still)
+        kind = fault[np.cumsum(s.first) - 1]
+        hit = (kind != robust_ar.NONE) & s.own
+        return pa.table({"msg_id": pa.array(s.ids[hit], pa.int64()), "kind": pa.array([KINDS[k] for k in kind[hit].tolist()], pa.string())})
 
     return judge
 
@@ -91,7 +174,13 @@ def find_faults(measurements: DataFrame, limit: float = 6.0, shard_rows: int = 2
         .select("msg_id", *SERIES, "at", "reading", F.explode("places").alias("p"))
         .select("msg_id", *SERIES, "at", "reading", "p.shard", "p.own")
     )
-    judged = spread.groupBy(*SERIES, "shard").applyInArrow(_judge(limit), "msg_id long, kind string")
+    # held stretches are judged by the whole series: its median step, its share of still steps, and what goes on beyond a shard
+    cut, lists = spread.groupBy(*SERIES, "shard"), "array<double>"
+    steps = cut.applyInArrow(_steps, f"{_KEYS}, kind {lists}, n {lists}, total {lists}")
+    step = steps.groupBy(*SERIES).applyInArrow(_median_step, f"{_KEYS}, step double")
+    held = cut.cogroup(step.groupBy(*SERIES, "shard")).applyInArrow(_held, f"{_KEYS}, head {lists}, cut {lists}, size {lists}, steps {lists}")
+    told = held.groupBy(*SERIES).applyInArrow(_known, f"{_KEYS}, known {lists}")
+    judged = cut.cogroup(told.groupBy(*SERIES, "shard")).applyInArrow(_judge(limit), "msg_id long, kind string")
     out_of = F.lit(False)
     for topic, (lo, hi) in LIMITS.items():
         out_of = out_of | ((F.col("topic") == topic) & ~F.col("reading").between(lo, hi))

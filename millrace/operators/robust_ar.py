@@ -6,6 +6,8 @@ Pure numerics without Spark: :mod:`millrace.operators.faults` applies
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 NONE, SPIKE, STUCK, LIMIT = 0, 1, 2, 3
@@ -22,43 +24,112 @@ def still_runs(x: np.ndarray, alpha: float = 0.01, least: int = 10) -> np.ndarra
     the strays are not marked.
     """
     n = len(x)
-    out = np.zeros(n, bool)
     if n <= least:
-        return out
-    d = np.abs(np.diff(x))
-    step = float(np.median(d))
-    if step == 0 and (d > 0).any() and (d > 0).mean() > 0.2:
-        tol = 0.0
-    else:
-        tol = 0.15 * step
-    tol += 1e-9 * max(1.0, abs(float(np.median(x))))
-    still = d <= tol
+        return np.zeros(n, bool)
+    step = float(np.median(np.abs(np.diff(x))))
+    groups, still = _groups(x, step)
+    need = longest_still(n, int(still.sum()), np.array([_readings(g) for g in groups]), np.array([_steps(g) for g in groups]), alpha, least)
+    return mark_still(x, step, need)
+
+
+def _tolerance(x: np.ndarray, step: float) -> float:
+    return 0.15 * step + 1e-9 * max(1.0, abs(float(np.median(x))))
+
+
+def _groups(x: np.ndarray, step: float) -> tuple[list[list[list[int]]], np.ndarray]:
+    """Runs of still steps, as first and last reading, those that strays break in one group; and which steps are still."""
+    tol = _tolerance(x, step)
+    still = np.abs(np.diff(x)) <= tol
     edge = np.flatnonzero(np.diff(np.r_[0, still.astype(np.int8), 0]))
-    runs = [[int(a), int(b)] for a, b in zip(edge[::2], edge[1::2])]  # readings a..b
     groups: list[list[list[int]]] = []
-    for a, b in runs:
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if b - a >= 2 and groups and a - groups[-1][-1][1] <= 4 and abs(np.median(x[a : b + 1]) - np.median(x[groups[-1][-1][0] : groups[-1][-1][1] + 1])) <= 2 * tol:
             groups[-1].append([a, b])
         else:
             groups.append([[a, b]])
-    long = [sum(b - a + 1 for a, b in g) for g in groups]
+    return groups, still
+
+
+def _readings(g: list[list[int]], lo: int = 0, hi: int = 1 << 62) -> int:
+    """How many readings of the runs of a group lie from ``lo`` to ``hi``."""
+    return sum(max(0, min(b, hi) - max(a, lo) + 1) for a, b in g)
+
+
+def _steps(g: list[list[int]]) -> int:
+    return sum(b - a for a, b in g)
+
+
+def longest_still(n: int, still: int, sizes: np.ndarray, steps: np.ndarray, alpha: float = 0.01, least: int = 10) -> float:
+    """From how many readings on a held stretch is too long for a series of ``n`` readings, ``still`` still steps and such groups."""
     # the share of still steps, without the stretches that are clearly too long
-    p = still.mean()
+    p = still / max(1, n - 1)
     for _ in range(3):
-        need = _too_long(p, n, alpha, least)
-        odd = [g for g, k in zip(groups, long) if k >= need]
-        lost = sum(b - a for g in odd for a, b in g)
-        rest = (still.sum() - lost) / max(1, n - 1 - lost)
+        lost = int(steps[sizes >= _too_long(p, n, alpha, least)].sum())
+        rest = (still - lost) / max(1, n - 1 - lost)
         if abs(rest - p) < 1e-6:
             break
         p = rest
-    need = _too_long(p, n, alpha, least)
-    for g, k in zip(groups, long):
-        if k >= need and max(b - a + 1 for a, b in g) >= 0.6 * need:
+    return _too_long(p, n, alpha, least)
+
+
+#: What a border of a shard cuts: readings of the group and of the run that lie beyond it, and the longest run of that group there.
+NOTHING = (0, 0, 0)
+
+
+def edges(x: np.ndarray, step: float, first: int, last: int) -> tuple[np.ndarray, np.ndarray, int, list[int]]:
+    """Of a shard whose own readings are ``first`` to ``last``: sizes and steps of the groups that begin in it, its still steps,
+    and what its borders cut: for left and right (cut or not, readings of the group, of the run, longest run), and whether one
+    group and one run go all through."""
+    groups, still = _groups(x, step)
+    begun = [g for g in groups if first <= g[0][0] <= last]
+    cut = []
+    for at in (first, last + 1):  # the border is before this reading
+        g = next((g for g in groups if g[0][0] < at <= g[-1][1]), None)
+        r = next((r for r in g or [] if r[0] < at <= r[1]), None)
+        cut += [int(g is not None), _readings(g or [], first, last), _readings([r] if r else [], first, last), max((_readings([q], first, last) for q in g or []), default=0)]
+    through = [any(q[0][0] < first and q[-1][1] > last for q in groups), any(r[0] < first and r[1] > last for q in groups for r in q)]
+    own = int(still[max(0, first - 1) : last].sum())
+    return np.array([_readings(g) for g in begun], int), np.array([_steps(g) for g in begun], int), own, cut + [int(t) for t in through]
+
+
+def carried(shards: list[list[int]]) -> list[tuple[tuple[int, int, int], tuple[int, int, int]]]:
+    """For each shard of a series, of the ``edges`` of all in order, what lies beyond its left and its right border."""
+
+    def along(order: list[int], here: int, there: int) -> dict[int, tuple[int, int, int]]:
+        out, before = {}, None
+        for k in order:
+            out[k] = NOTHING
+            if before is not None and shards[k][here] and shards[before][there]:
+                e, (size, run, most) = shards[before], out[before]
+                # the run goes on only if the border cuts it on this side too
+                r = e[there + 2] + (run if e[9] else 0) if shards[k][here + 2] else 0
+                out[k] = (e[there + 1] + (size if e[8] else 0), r, max(e[there + 3], r, most if e[8] else 0))
+            before = k
+        return out
+
+    left, right = along(list(range(len(shards))), 0, 4), along(list(range(len(shards)))[::-1], 4, 0)
+    return [(left[k], right[k]) for k in range(len(shards))]
+
+
+def mark_still(x: np.ndarray, step: float, need: float, first: int = 0, last: int | None = None, left: tuple[int, int, int] = NOTHING, right: tuple[int, int, int] = NOTHING) -> np.ndarray:
+    """Marks the stretches of at least ``need`` readings, with those beyond the borders of the shard ``first`` to ``last``."""
+    out = np.zeros(len(x), bool)
+    if not len(x):
+        return out
+    last = len(x) - 1 if last is None else last
+    tol = _tolerance(x, step)
+    for g in _groups(x, step)[0]:
+
+        def whole(runs: list[list[int]], i: int) -> int:
+            l, r = runs[0][0] < first <= runs[-1][1], runs[0][0] <= last < runs[-1][1]
+            return max(_readings(runs), _readings(runs, first, last) + l * left[i] + r * right[i])
+
+        beyond = max((g[0][0] < first <= g[-1][1]) * left[2], (g[0][0] <= last < g[-1][1]) * right[2])
+        if whole(g, 0) >= need and max(beyond, *(whole([r], 1) for r in g)) >= 0.6 * need:
             for a, b in g:
                 out[a : b + 1] = True
-            held = np.median(x[g[0][0] : g[-1][1] + 1])
             lo, hi = g[0][0], g[-1][1]
+            held = np.median(x[lo : hi + 1])
             out[lo : hi + 1] |= np.abs(x[lo : hi + 1] - held) <= 2 * tol
     return out
 
@@ -243,10 +314,11 @@ def _nanmedian3(v: np.ndarray) -> np.ndarray:
     return np.where(n == 3, s[1], np.where(n == 2, two, s[0]))
 
 
-def find_faults(x: np.ndarray, t: np.ndarray, lo: float, hi: float, limit: float = 6.0) -> np.ndarray:
+def find_faults(x: np.ndarray, t: np.ndarray, lo: float, hi: float, limit: float = 6.0, still: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The fault of each reading of one series in time order: NONE, SPIKE, STUCK or LIMIT.
 
-    ``lo`` and ``hi`` are the values the quantity can take.
+    ``lo`` and ``hi`` are the values the quantity can take.  ``still`` marks the held stretches of possible readings, also given
+    their places, where more is known of the series than ``x``; else :func:`still_runs` does.
     """
     out = np.zeros(len(x), np.int8)
     bad = ~((x >= lo) & (x <= hi))
@@ -255,7 +327,7 @@ def find_faults(x: np.ndarray, t: np.ndarray, lo: float, hi: float, limit: float
     if len(keep) < 5:
         return out
     y, s = x[keep], t[keep]
-    stuck = still_runs(y)
+    stuck = still(y, keep) if still else still_runs(y)
     # a correction of a held reading stands at its time
     same = np.diff(s) == 0
     stuck[1:] |= same & stuck[:-1]

@@ -294,3 +294,22 @@ def test_faults_over_shards(spark, measurements):
     cut = [(r["msg_id"], r["kind"]) for r in faults.find_faults(measurements(rows), shard_rows=400, halo_rows=64).collect()]
     assert len(cut) == len(set(cut)) and set(cut) == whole
     assert faults.find_faults(measurements([])).count() == 0
+
+
+def test_stuck_over_shard_borders(spark, measurements):
+    rng = np.random.default_rng(4)
+    n = 1290
+    t = T0 + 600_000 * np.arange(n)
+    x = np.round(60 + rng.normal(0, 1, n), 2)
+    coarse = np.repeat(rng.integers(50, 60, n), rng.integers(3, 9, n))[:n].astype(float)  # holds by itself, so only long stretches count
+    x[385:420] = 61.5  # across a border
+    x[1230:] = 58.25 + rng.normal(0, 0.01, n - 1230)  # all of a short tail, with slight jitter
+    coarse[300:900] = 55.0  # longer than a shard and its halo
+    rows = [("temperature", 0, i, int(t[i]), s, float(v[i])) for s, v in (("fine", x), ("coarse", coarse)) for i in range(n)]
+
+    def stuck(**how):
+        return {r["msg_id"] for r in faults.find_faults(measurements(rows), **how).collect() if r["kind"] == "stuck"}
+
+    want = {*range(385, 420), *range(1230, n), *range(n + 300, n + 900)}
+    whole, cut = stuck(), stuck(shard_rows=400, halo_rows=12)
+    assert want <= whole and cut == whole and len(whole - want) < 20
