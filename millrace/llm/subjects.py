@@ -6,22 +6,22 @@ Rounds of the same steps, each with the subjects the one before has given:
    and the fewer subjects share it; the ``vocabulary`` heaviest make the columns.
 2. The weighted matrix of texts and terms is reduced to ``rank`` dimensions by a truncated singular value decomposition: subspace
    iteration, one map over the texts and one sum of a vocabulary x rank matrix each time.
-3. Each subject has several centroids, seeded with the terms of the texts that annotators gave it, and refined: every text goes to
-   the nearest centroid by cosine similarity, and the centroids move to the mean of their texts.
+3. Each subject has several centroids, seeded with the terms of the texts that annotators gave it and of its own description, and
+   refined: every text goes to the nearest centroid by cosine similarity, and the centroids move to the mean of their texts.
 
-In the end a term of the vocabulary stands for the main subject of its texts if a centroid of that is near it.  A text has each
-subject that its terms mention at least twice, or if there is none, the nearest of those mentioned or the nearest of all.  A text near
-none has the default subject.
+In the end texts are cut into mentions, the unbroken runs of words that have a place in the vocabulary.  A mention is embedded as a text is
+and belongs to the subject of the centroid nearest to it by cosine similarity, if that is near enough; a text has the subjects of its
+mentions, those of a single one only if no other has more, and then the nearest of them.  A text without mentions near any centroid has
+the default subject.
 
 All texts take part in every count, sum and refinement.  What reaches the driver and what is broadcast is bounded by the
-parameters: the vocabulary, vocabulary x rank numbers, and the centroids.
+parameters: the vocabulary, vocabulary x rank numbers, the centroids, and the sample of labelled texts that seeds them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -29,27 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.words import Words, pair_ids
+from millrace.llm.blocks import NO_ID, Block, Packed, blocks, counted, narrow
+from millrace.llm.words import Words
 from millrace.operators.lineage import checkpointed
-from millrace.operators.series import bounded
 
 #: Terms of a block of the vocabulary that is summed as one value; partial results summed at a time; texts a task at least.
 BLOCK, FAN_IN, TASK_TEXTS = 512, 64, 50_000
-#: Labelled texts up to this many are broadcast to the texts; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``labelled`` is how many labelled texts seed the centroids at most, the first by a hash of their ids."""
+
+    labelled: int = 200_000
     vocabulary: int = 16384
     rank: int = 64
     rounds: int = 4
     power: int = 4
     refine: int = 4
-    near: float = 0.3  # least cosine of a text and its centroid
-    term_near: float = 0.15  # least cosine of a term and a centroid of its subject
     least: tuple[int, ...] = (2, 3)  # texts that a term must occur in, by round
     pure: tuple[float, ...] = (0.8, 0.6)  # least share of its main subject
+    sure: float = 0.9  # words of such a share need no pairs
+    near: float = 0.02  # least cosine of a text or mention and a centroid
+    clear: float = 0.5  # by what share of it a text's best cosine must lead the second for the text to take part in the next step
+    told_apart: float = 0.3  # the same for a mention to count
     mentions: int = 2
     default: str = "software"
     seed: int = 1
@@ -57,407 +60,396 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Terms in order, with their weight and vector; centroids with the subject of each."""
+    """Terms in order of their ids, with their weights and vectors, and the centroids, one a subject."""
 
     terms: np.ndarray
     weight: np.ndarray
-    top: np.ndarray
-    heft: np.ndarray
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where ids stand among the terms, -1 if nowhere; most stand nowhere and fall through a sieve of bits."""
+        out = np.full(len(ids), -1, np.int32)
+        if len(self.terms):
+            sieve = np.zeros(1 << 20, bool)
+            sieve[self.terms & ((1 << 20) - 1)] = True
+            some = np.flatnonzero(sieve[ids & ((1 << 20) - 1)])
+            at = np.minimum(np.searchsorted(self.terms, ids[some]), len(self.terms) - 1)
+            hit = self.terms[at] == ids[some]
+            out[some[hit]] = at[hit]
+        return out
+
 
-    def __getstate__(self) -> dict[str, Any]:
-        return {k: v for k, v in self.__dict__.items() if k != "places"}  # the tasks make their own
+@dataclass
+class Matrix(Packed):
+    """The rows of the matrix of some texts: number of columns of each, the columns, and how often the text has that term; with the
+    annotators' subjects (as in :class:`Block`) and the subject that the text had so far, plus one."""
 
-    @cached_property
-    def places(self) -> _Places:
-        return _Places(self.terms)
+    told: np.ndarray
+    given: np.ndarray
+    size: np.ndarray
+    col: np.ndarray
+    often: np.ndarray
+
+    def values(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and value of each entry; rows have length 1."""
+        x = (1 + np.log(self.often.astype(np.float32))) * weight[self.col]
+        row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        norm = np.sqrt(np.bincount(row, x.astype(float) ** 2, len(self.size))).astype(np.float32)
+        return row, x / np.maximum(norm[row], 1e-12)
+
+    def members(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, subject): what annotators told, of other texts what was ``found`` (-1: nothing)."""
+        text, subject = (self.told >> 8).astype(np.int64), (self.told & 255).astype(np.int64)
+        free = np.array(found)
+        free[text] = -1
+        some = np.flatnonzero(free >= 0)
+        return np.concatenate([text, some]), np.concatenate([subject, free[some]])
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
 
 
-_SIEVE = 1 << 20
+def gather_sums(size: np.ndarray, col: np.ndarray, x: np.ndarray, src: np.ndarray, piece: int = 32, most: int = 1 << 12) -> np.ndarray:
+    """Row i of the result is the sum of x * src[col] over the ``size[i]`` entries of row i.
+
+    Rows are cut into pieces of at most ``piece`` entries; pieces of one length are multiplied together.
+    """
+    size = size.astype(np.int64)
+    many = -(-size // piece)
+    first = np.r_[0, np.cumsum(many)]
+    total = int(first[-1])
+    out = np.zeros((len(size), src.shape[1]), np.float32)
+    if not total:
+        return out
+    k = np.arange(total) - np.repeat(first[:-1], many)
+    begin = np.repeat(np.r_[0, np.cumsum(size)[:-1]], many) + k * piece
+    n = np.minimum(np.repeat(size, many) - k * piece, piece)
+    part = np.empty((total, src.shape[1]), np.float32)
+    by = np.argsort(n.astype(np.uint16), kind="stable")
+    cut = np.r_[0, np.cumsum(np.bincount(n, minlength=piece + 1))]
+    for length in range(1, piece + 1):
+        step = max(1, most // length)
+        for a in range(cut[length], cut[length + 1], step):
+            r = by[a : min(cut[length + 1], a + step)]
+            at = begin[r][:, None] + np.arange(length)
+            part[r] = np.matmul(x[at][:, None, :], src[col[at]])[:, 0]
+    has = np.flatnonzero(many)
+    out[has] = np.add.reduceat(part, first[:-1][has], axis=0) if total > len(has) else part
+    return out
 
 
-class _Places:
-    """Where ids stand among sorted terms; most ids are none of them and fall through a sieve of bits."""
+def transposed_sums(m: Matrix, row: np.ndarray, x: np.ndarray, src: np.ndarray, n: int) -> np.ndarray:
+    """As :func:`gather_sums`, by column: n sums of x * src[row]."""
+    by = np.argsort(m.col, kind="stable")
+    return gather_sums(np.bincount(m.col, minlength=n), row[by], x[by], src)
 
-    def __init__(self, terms: np.ndarray) -> None:
-        self.terms = terms
-        self.sieve = np.zeros(_SIEVE, bool)
-        self.sieve[terms & (_SIEVE - 1)] = True
 
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The positions in ``ids`` that hold a term, and the place of that term."""
-        if not len(self.terms):
-            return np.zeros(0, int), np.zeros(0, int)
-        some = np.flatnonzero(self.sieve[ids & (_SIEVE - 1)])
-        at = np.minimum(np.searchsorted(self.terms, ids[some]), len(self.terms) - 1)
-        hit = self.terms[at] == ids[some]
-        return some[hit], at[hit]
+def _nearest(e: np.ndarray, centroids: np.ndarray, near: float, clear: float) -> np.ndarray:
+    """The subject whose centroid is nearest by cosine, if it is near enough and leads the second clearly; else -1."""
+    cos = _unit(e) @ centroids.T
+    if cos.shape[1] == 1:
+        return np.where(cos[:, 0] >= near, 0, -1)
+    top = np.sort(cos, 1)[:, -2:]
+    ok = (top[:, 1] >= near) & (top[:, 1] - np.maximum(top[:, 0], 0) >= clear * top[:, 1])
+    return np.where(ok, cos.argmax(1), -1)
 
-    def all(self, ids: np.ndarray) -> np.ndarray:
-        """The place of each id, -1 if it is no term."""
-        out = np.full(len(ids), -1)
-        i, at = self.find(ids)
-        out[i] = at
-        return out
 
+def matrix(b: Block, model: Model, given: np.ndarray | None = None) -> Matrix:
+    col = model.places(b.ids())[b.term]
+    use = col >= 0
+    text = np.repeat(np.arange(len(b.doc)), b.terms)[use]
+    so_far = np.zeros(len(b.doc), np.uint16) if given is None else (given + 1).astype(np.uint16)
+    return Matrix(b.told, so_far, np.bincount(text, minlength=len(b.doc)).astype(np.uint32), narrow(col[use].astype(np.int64)), b.often[use])
 
-def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values and row lengths of a list column without nulls."""
-    c = batch.column(batch.schema.get_field_index(name))
-    return c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())
 
+def embedded(m: Matrix, model: Model) -> np.ndarray:
+    return gather_sums(m.size, m.col, m.values(model.weight)[1], model.vectors)
 
-def _terms_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and pair ids of several texts, and the text of each."""
-    words = words.astype(np.int64)
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    if len(words) < 2:
-        return words, text
-    inside = text[1:] == text[:-1]
-    return np.concatenate([words, pair_ids(words)[inside]]), np.concatenate([text, text[1:][inside]])
 
+def subject_of(b: Block, model: Model | None, s: Settings) -> np.ndarray:
+    """The subject that ``model`` gives each text, -1 for none."""
+    if model is None or not len(model.terms):
+        return np.full(len(b.doc), -1)
+    return _nearest(embedded(matrix(b, model), model), model.centroids, s.near, s.clear)
 
-def _weighted(model: Model, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of the matrix for some texts, each of length 1: (text, column, value), by text and column."""
-    ids, text = _terms_of(words, lengths)
-    hit, at = model.places.find(ids)
-    key, n = np.unique(text[hit] * np.int64(max(1, len(model.terms))) + at, return_counts=True)
-    row, col = key // max(1, len(model.terms)), key % max(1, len(model.terms))
-    x = (1 + np.log(n)) * model.weight[col]
-    norm = np.sqrt(np.bincount(row, x * x, len(lengths)))
-    return row, col, x / np.maximum(norm[row], 1e-12)
 
+def counts(b: Block, found: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the dictionary marked by ``use``, with a subject (term << 8 | subject), and in how many texts of it they are."""
+    start = np.r_[0, np.cumsum(b.terms, dtype=np.int64)]
+    text, subject = Matrix(b.told, found, b.terms, b.term, b.often).members(found)
+    n = b.terms[text].astype(np.int64)
+    at = np.repeat(start[text] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+    term, subject = b.term[at], np.repeat(subject, n)
+    keep = use[term]
+    return counted((term[keep].astype(np.int64) << 8) | subject[keep])
 
-def _add_rows(out: np.ndarray, at: np.ndarray, src: np.ndarray, frm: np.ndarray, x: np.ndarray, most: int = 1 << 15) -> None:
-    """out[at] += x * src[frm] for ``at`` in order, ``most`` entries at a time."""
-    for a in range(0, len(at), most):
-        i = at[a : a + most]
-        starts = np.flatnonzero(np.r_[True, np.diff(i) != 0])
-        out[i[starts]] += np.add.reduceat(x[a : a + most, None] * src[frm[a : a + most]], starts)
 
+def mentioned(b: Block, model: Model, s: Settings) -> np.ndarray:
+    """How many mentions of each text are of each subject.
 
-def _embed(row: np.ndarray, col: np.ndarray, x: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, vectors.shape[1]))
-    _add_rows(out, row, vectors, col, x)
+    A mention is an unbroken run of words that are terms or parts of a pair that is one."""
+    n = len(model.centroids)
+    out = np.zeros((len(b.doc), n), np.int64)
+    word = b.word.astype(np.int64)
+    if not len(word):
+        return out
+    place = model.places(b.ids())
+    text = np.repeat(np.arange(len(b.size)), b.size)
+    own = place[word]
+    inside = text[1:] == text[:-1]
+    pair = np.full(len(word) - 1, -1)
+    if len(b.left):
+        keys, key = (b.left.astype(np.int64) << 24) | b.right, (word[:-1] << 24) | word[1:]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        pair = np.where(inside & (keys[at] == key), place[len(b.words) + at], -1)
+    cover = own >= 0
+    cover[:-1] |= pair >= 0
+    cover[1:] |= pair >= 0
+    begins = cover & ~np.r_[False, cover[:-1] & inside]
+    run = np.cumsum(begins) - 1
+    i, j = np.flatnonzero(own >= 0), np.flatnonzero(pair >= 0)
+    of, col = np.concatenate([run[i], run[j]]), np.concatenate([own[i], pair[j]])
+    by = np.argsort(of, kind="stable")
+    e = gather_sums(np.bincount(of, minlength=int(begins.sum())), col[by], model.weight[col[by]], model.vectors)
+    subject = _nearest(e, model.centroids, s.near, s.told_apart)
+    use = subject >= 0
+    np.add.at(out, (text[begins][use], subject[use]), 1)
     return out
 
 
-def _by_subject(cos: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The highest cosine among the centroids of each subject."""
-    return np.stack([cos[:, owner == s].max(1, initial=-1.0) for s in range(n)], 1)
+def decide(b: Block, model: Model, s: Settings, default: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, subject, mentions) of all texts of a block."""
+    if not len(model.terms):
+        return np.arange(len(b.doc)), np.full(len(b.doc), default), np.zeros(len(b.doc), np.int64)
+    m = mentioned(b, model, s)
+    row, at = np.nonzero(m >= s.mentions)
+    weak = np.flatnonzero(m.max(1, initial=0) < s.mentions)
+    cos = (_unit(embedded(matrix(b, model), model)) @ model.centroids.T)[weak]
+    once = m[weak] > 0
+    best = np.where(once.any(1), np.where(once, cos, -2).argmax(1), np.where(cos.max(1, initial=-1) >= s.near, cos.argmax(1), default))
+    row, at = np.r_[row, weak], np.r_[at, best]
+    return row, at, m[row, at]
+
+
+# over all texts
+
+
+def seeds(labels: DataFrame, names: list[str], most: int) -> DataFrame:
+    """(doc_id, told): the subjects that annotators gave a text; spaces and case are ignored.  ``most`` texts at most, by a hash of their ids."""
+    index = F.array_position(F.array(*[F.lit(n.strip().lower()) for n in names]), F.lower(F.trim("subject"))) - 1
+    told = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", index.cast("int").alias("s")).filter("s >= 0").groupBy("doc_id").agg(F.collect_set("s").alias("told"))
+    return told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def _described(about: list[tuple[str, str | None]], weight: int) -> list[tuple[int, int]]:
+    """The words of the subjects' names and descriptions, as (term, count and subject): as if so many texts of it had them."""
+    w = Words()
+    out = []
+    for i, (name, text) in enumerate(about):
+        at = w.places(f"{name} {text or ''}")
+        out += [(int(t), weight * 256 + i) for t in np.unique(w.ids()[at])]
+    return out
 
 
-def split(documents: DataFrame) -> DataFrame:
-    """(doc_id, ids, blank): each text as a sequence of word ids."""
+def _tally(texts: DataFrame, of: Callable[[Block], tuple[np.ndarray, np.ndarray]], n: int, more: DataFrame | None = None) -> DataFrame:
+    """(term, n0, n1, ...): in how many texts of each subject a term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            texts = b["text"].to_pylist()
-            ids = [words.ids(t).astype(np.int32) for t in texts]
-            ends = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            blank = pa.array([not t or t.isspace() for t in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), blank], ["doc_id", "ids", "blank"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, blank boolean")
-
-
-def seeds(labels: DataFrame, names: list[str]) -> DataFrame:
-    """(doc_id, label): the subject of the texts whose annotators agree on one; spaces and case are ignored."""
-    known = F.lower(F.trim("subject"))
-    index = F.array_position(F.array(*[F.lit(n.strip().lower()) for n in names]), known) - 1
-    return (
-        labels.filter(F.col("doc_id").isNotNull())
-        .select("doc_id", index.cast("int").alias("label"))
-        .filter("label >= 0")
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"), F.max("label").alias("other"))
-        .filter("label = other")
-        .select("doc_id", "label")
-    )
-
-
-def _count_terms(texts: DataFrame, subject_of: Callable[[pa.RecordBatch], np.ndarray], n: int) -> DataFrame:
-    """(term, n0, n1, ...): in how many texts of each subject a term occurs."""
-    most = 4_000_000
+        for b in Block.rows(batches):
+            key, k = of(b)
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids()[key >> 8], pa.int64()), pa.array((k << 8) | (key & 255), pa.int64())], ["term", "sn"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # terms and their subjects in one number
-
-        def out() -> pa.RecordBatch:
-            key, k = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key >> 8, pa.int64()), pa.array((key & 255).astype(np.int32)), pa.array(k, pa.int64())], ["term", "s", "n"])
-
-        total = 0
-        for b in (w.slice(i, 1 << 19) for w in batches for i in range(0, max(1, w.num_rows), 1 << 19)):
-            subject = subject_of(b)
-            words, lengths = _flat(b, "ids")
-            ids, text = _terms_of(words, lengths)
-            use = subject[text] >= 0
-            ids, text = ids[use], text[use]
-            # each term once a text: 44 bits of term and 19 of text in one number to sort
-            key = np.sort((ids << 19) | text)
-            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-            held.append(((key >> 19) << 8) | subject[key & 0x7FFFF])
-            total += len(key)
-            if total >= most:
-                yield out()
-                total = 0
-        yield out()
-
-    rows = texts.mapInArrow(run, "term long, s int, n long")
-    # already added up within tasks: what is shuffled is narrow
-    return rows.repartition("term").groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(n)])
-
-
-def _choose(counted: DataFrame, sizes: np.ndarray, least: int, pure: float, most: int) -> Model:
-    """The vocabulary of a round, of counts among ``sizes`` texts of each subject."""
+    rows = texts.mapInArrow(run, "term long, sn long")
+    if more is not None:
+        rows = rows.unionByName(more)
+    # already added up within blocks: what is shuffled is narrow
+    s, k = F.col("sn").bitwiseAND(255), F.shiftright("sn", 8)
+    return rows.repartition("term").groupBy("term").agg(*[F.sum(F.when(s == i, k).otherwise(0)).alias(f"n{i}") for i in range(n)])
+
+
+def _rated(tally: DataFrame, sizes: np.ndarray, least: int, pure: float, most: int) -> dict[str, np.ndarray]:
+    """The ``most`` terms of a tally that tell subjects apart best: id, number of texts, weight of purity, rank and share of the main subject."""
     n = len(sizes)
     many = np.maximum(1, sizes).astype(float)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.column_stack([b[f"n{i}"].to_numpy() for i in range(n)]).astype(float)
-            total = counts.sum(1)
+            c = np.column_stack([b[f"n{i}"].to_numpy() for i in range(n)]).astype(float)
 
-            def shares(more: float) -> np.ndarray:
-                rate = (counts + more) / many
+            def shares(more: float, c: np.ndarray = c) -> np.ndarray:
+                rate = (c + more) / many
                 return rate / rate.sum(1, keepdims=True)
 
             def purity(p: np.ndarray) -> np.ndarray:
                 entropy = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1) / np.log(max(2, n))
                 return (1 - entropy) ** 2
 
-            share = shares(0.0)
+            total, share = c.sum(1), shares(0.0)
             ok = share.max(1, initial=0.0) >= pure
             # in the order of choice, half a text more of every subject: a term of few texts, which may be copies of one, proves little
-            order = purity(shares(0.5)) * np.sqrt(total)
-            cols = [b["term"].to_numpy(), total.astype(np.int64), purity(share), order, share.argmax(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cols], ["term", "total", "w", "rank", "top"])
+            cols = [b["term"].to_numpy(), total, purity(share), purity(shares(0.5)) * np.sqrt(total), share.max(1, initial=0.0)]
+            yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in cols], ["term", "total", "w", "rank", "share"])
 
     total = sum(F.col(f"n{i}") for i in range(n))
-    found = counted.filter(total >= least).mapInArrow(weigh, "term long, total long, w double, rank double, top long")
-    rows = sorted(found.orderBy(F.col("rank").desc(), "term").limit(most).collect(), key=lambda r: r["term"])
-    df = np.array([r["total"] for r in rows], float)
-    pureness = np.array([r["w"] for r in rows])
-    weight = pureness * np.log(max(2, sizes.sum()) / np.maximum(df, 1)).clip(0.1)
-    return Model(np.array([r["term"] for r in rows], np.int64), weight, np.array([r["top"] for r in rows], int), pureness * np.sqrt(df))
+    found = tally.filter(total >= least).mapInArrow(weigh, "term long, total double, w double, rank double, share double")
+    t = found.orderBy(F.col("rank").desc(), "term").limit(most).toArrow()
+    return {c: t[c].to_numpy() for c in t.column_names}
+
+
+def _vocabulary(parts: list[dict[str, np.ndarray]], sizes: np.ndarray, most: int) -> Model:
+    r = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    best = np.lexsort((r["term"], -r["rank"]))[:most]
+    best = best[np.argsort(r["term"][best])]
+    weight = r["w"][best] * np.log(max(2, sizes.sum()) / np.maximum(r["total"][best], 1)).clip(0.1)
+    return Model(r["term"][best], weight.astype(np.float32))
 
 
-def _sum_matrices(spark: SparkSession, rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
-    """The sum of one matrix for each task of ``rows``, all of one shape, added up in blocks and in two levels."""
+def _sum_matrices(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of one matrix for each task of ``rows``, all of one shape, added up in blocks, ``FAN_IN`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = part(batches)
         cuts = range(0, max(1, len(m)), BLOCK)
-        salt = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c // BLOCK for c in cuts], pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([m[c : c + BLOCK].astype(np.float32).tobytes() for c in cuts], pa.binary())],
+            [pa.array([c // BLOCK for c in cuts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), pa.array([m[c : c + BLOCK].astype(np.float32).tobytes() for c in cuts], pa.binary())],
             ["block", "salt", "m"],
         )
 
     def add(t: pa.Table) -> pa.Table:
         s = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t["m"]).astype(np.float32)
-        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "m": pa.array([s.tobytes()], pa.binary())})
+        return pa.table({"block": t["block"].slice(0, 1), "salt": t["salt"].slice(0, 1), "m": pa.array([s.tobytes()], pa.binary())})
 
     kind = "block int, salt int, m binary"
-    parts = rows.mapInArrow(run, kind)
-    if rows.rdd.getNumPartitions() > FAN_IN:
-        parts = parts.groupBy("block", "salt").applyInArrow(add, kind)
-    got = sorted(parts.groupBy("block").applyInArrow(add, kind).collect(), key=lambda r: r["block"])
+    parts, left = rows.mapInArrow(run, kind), rows.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN_IN)
+        parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("block", "salt").applyInArrow(add, kind)
+    got = sorted(parts.collect(), key=lambda r: r["block"])
     return np.concatenate([np.frombuffer(r["m"], np.float32) for r in got]).astype(float) if got else np.zeros(0)
 
 
-def _kmeans(x: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
-    """Spherical k-means from heavy points far from each other."""
-    x = _unit(x)
-    c = [x[np.argmax(w)]]
-    while len(c) < min(m, len(x)):
-        c.append(x[np.argmax((1 - np.max(x @ np.array(c).T, 1)) * w)])
-    c = np.array(c)
-    for _ in range(8):
-        z = (x @ c.T).argmax(1)
-        c = _unit(np.array([(x[z == j] * w[z == j, None]).sum(0) if (z == j).any() else c[j] for j in range(len(c))]))
-    return c
+def _fit(rows: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> tuple[Model, np.ndarray]:
+    """Decomposes the matrix and refines the centroids; and how many texts then are of each subject.
 
-
-def _fit(spark: SparkSession, texts: DataFrame, model: Model, sizes: np.ndarray, s: Settings) -> tuple[Model, np.ndarray]:
-    """Decomposes the matrix of ``texts`` and refines the centroids; and how many texts then are of each subject."""
-    v, k = len(model.terms), min(s.rank, max(1, len(model.terms)))
-    if not v:
-        return model, sizes
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, lengths = _flat(b, "ids")
-            row, col, x = _weighted(model, words, lengths)
-            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(lengths)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(ends), pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.float32))), b["label"]],
-                ["col", "x", "label"],
-            )
-
-    rows = checkpointed(spark, texts.select("ids", "label").mapInArrow(rows_of, "col array<int>, x array<float>, label int"))
-    # each task gives a whole matrix: not too few texts a task
-    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // TASK_TEXTS))))
-
-    def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        col, n = _flat(b, "col")
-        return np.repeat(np.arange(len(n)), n), col, _flat(b, "x")[0].astype(float), len(n)
-
-    q = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((v, k)))[0]
-    for _ in range(s.power):
+    The first sum of the subspace iteration also gives the sum of the texts of each subject.  These sums are added to the leading singular
+    vectors: terms that are rare have next to no part in those, and texts made of such terms would have no place.  ``prior`` has a column of
+    terms for each subject, which counts as a text of it to begin with."""
+    v, k, n = len(model.terms), min(s.rank, len(model.terms)), prior.shape[1]
+    q, weight, means = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((v, k)))[0], model.weight, np.zeros((v, 0))
+    for step in range(max(1, s.power)):
 
         # what goes to the tasks is in single precision
-        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32)) -> np.ndarray:
-            y = np.zeros((v, k))
-            for b in batches:
-                row, col, x, n = unpacked(b)
-                e = _embed(row, col, x, n, q)
-                order = np.argsort(col, kind="stable")
-                _add_rows(y, col[order], e, row[order], x[order])
+        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32), first: bool = step == 0) -> np.ndarray:
+            y = np.zeros((v, k + n if first else k), np.float32)
+            for m in Matrix.rows(batches):
+                row, x = m.values(weight)
+                e = gather_sums(m.size, m.col, x, q)
+                if first:
+                    own = np.zeros((len(m.size), n), np.float32)
+                    own[m.members(m.given.astype(np.int64) - 1)] = 1
+                    e = np.concatenate([e, own], 1)
+                y += transposed_sums(m, row, x, e, v)
             return y
 
-        q = np.linalg.qr(_sum_matrices(spark, rows, power).reshape(v, k))[0]
-    centroids, owner = [], []
-    middle = max(1.0, float(np.median(sizes[sizes > 0]))) if (sizes > 0).any() else 1.0
-    for i in range(len(sizes)):
-        own = model.top == i
-        if own.any():
-            c = _kmeans(q[own], model.heft[own], int(np.clip(round(4 * sizes[i] / middle), 4, 16)))
-            centroids.append(c)
-            owner += [i] * len(c)
-    c, own = np.vstack(centroids), np.array(owner)
-    q, n = q.astype(np.float32), len(sizes)
-    for _ in range(s.refine):
-
-        def nearest(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> np.ndarray:
-            y = np.zeros((len(c) + -(-n // k), k))  # the sums, and below them the texts of each subject
-            texts_of = y[len(c) :].reshape(-1)
-            for b in batches:
-                row, col, x, m = unpacked(b)
-                e = _unit(_embed(row, col, x, m, q))
-                cos = e @ c.T
-                z = cos.argmax(1)
-                use = cos.max(1, initial=-1.0) > s.near
-                np.add.at(y, z[use], e[use])
-                subject = _told(b["label"].to_numpy(), np.where(use, own[z], -1))
-                texts_of[:n] += np.bincount(subject[subject >= 0], minlength=n)
+        y = _sum_matrices(rows, power).reshape(v, -1)
+        if step == 0:
+            means = y[:, k:] + prior
+            means = means / np.maximum(np.linalg.norm(means, axis=0), 1e-12)
+        q = np.linalg.qr(y[:, :k])[0]
+    vectors = np.linalg.qr(np.concatenate([means, q], 1))[0].astype(np.float32)
+    model = Model(model.terms, weight, vectors)
+    c, sizes, width = np.zeros((0, vectors.shape[1]), np.float32), np.zeros(n, int), vectors.shape[1]
+    for _ in range(s.refine + 1):
+
+        def move(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> np.ndarray:
+            y = np.zeros((n, width + 1))  # sums of the texts of each subject, and their number
+            for m in Matrix.rows(batches):
+                e = _unit(embedded(m, model))
+                text, subject = m.members(_nearest(e, c, s.near, s.clear) if len(c) else m.given.astype(np.int64) - 1)
+                by = np.argsort(subject, kind="stable")
+                y[:, :width] += gather_sums(np.bincount(subject, minlength=n), text[by], np.ones(len(by), np.float32), e)
+                y[:, width] += np.bincount(subject, minlength=n)
             return y
 
-        y = _sum_matrices(spark, rows, nearest).reshape(-1, k)
-        c, sizes = _unit(y[: len(c)] + 1e-3 * c), y[len(c) :].reshape(-1)[:n].astype(int)
-    return Model(model.terms, model.weight, model.top, model.heft, q, c.astype(np.float32), own), sizes
-
-
-def _told(label: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The annotators' subject where there is one."""
-    return np.where(label >= 0, label, found)
-
-
-def _nearest(model: Model, row: np.ndarray, col: np.ndarray, x: np.ndarray, label: np.ndarray, near: float) -> np.ndarray:
-    """The subject of each text: its label, or that of the nearest centroid, or -1."""
-    cos = _unit(_embed(row, col, x, len(label), model.vectors)) @ model.centroids.T
-    return _told(label, np.where(cos.max(1, initial=-1.0) > near, model.owner[cos.argmax(1)], -1))
-
-
-def _term_subjects(model: Model, n: int, near: float) -> np.ndarray:
-    """The subject of each term: the main one of its texts, if a centroid of that is near; else -1."""
-    if not len(model.terms):
-        return np.zeros(0, int)
-    cos = _by_subject(_unit(model.vectors) @ model.centroids.T, model.owner, n)
-    return np.where(cos[np.arange(len(cos)), model.top] >= near, model.top, -1)
-
-
-def _mentions(model: Model, subject: np.ndarray, words: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """How often each text mentions each subject; neighbouring words of one subject are one mention."""
-    words = words.astype(np.int64)
-    out = np.zeros((len(lengths), n), np.int64)
-    if not len(words) or not len(subject):
-        return out
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    ext = np.r_[subject, -1]
-    token = ext[model.places.all(words)]
-    if len(words) > 1:
-        inside = text[1:] == text[:-1]
-        pair = np.where(inside, ext[model.places.all(pair_ids(words))], -1)
-        k = np.flatnonzero(pair >= 0)  # a pair decides both its words
-        token[k] = pair[k]
-        token[k + 1] = pair[k]
-        begins = np.r_[True, (token[1:] != token[:-1]) | ~inside]
-    else:
-        begins = np.ones(1, bool)
-    use = begins & (token >= 0)
-    np.add.at(out, (text[use], token[use]), 1)
-    return out
+        y = _sum_matrices(rows, move).reshape(n, -1)
+        if not len(c):
+            y[:, :width] += _unit(prior.T @ vectors)
+        c, sizes = _unit(y[:, :width]).astype(np.float32), y[:, width].astype(int)
+    return Model(model.terms, weight, vectors, c), np.maximum(sizes, 1)
 
 
 def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, subject, mentions): one row for each subject of each text.
 
-    ``subjects`` names the subjects, ``labels`` gives some texts a subject; wrong, missing, repeated and unevenly spelled labels do
-    no harm in moderation.  Texts that are null or only white space have no row; any other text has one at least.  Without usable
-    labels every text has the default subject.  ``documents`` needs doc_id and text; other columns are ignored.
+    ``subjects`` names and describes the subjects, ``labels`` gives some texts subjects; wrong, missing, repeated and unevenly spelled labels
+    do no harm in moderation.  Texts that are null or only white space have no row; any other text has one at least, also one without an
+    id.  Texts without a term near any centroid have the default subject.  ``documents`` needs doc_id and text; other columns are ignored.
     """
     s = settings or Settings()
-    found = subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().limit(257).collect()
+    found = subjects.filter(F.col("subject").isNotNull()).groupBy("subject").agg(F.min("about").alias("about")).limit(257).collect()
     if not 0 < len(found) <= 256:
         raise ValueError("between 1 and 256 subjects are expected")
-    names = sorted(r["subject"] for r in found)
-    n = len(names)
+    about = sorted((r["subject"], r["about"]) for r in found)
+    names, n = [a for a, _ in about], len(about)
     default = names.index(s.default) if s.default in names else 0
-    texts = split(documents).filter(~F.col("blank")).drop("blank")
-    texts = checkpointed(spark, texts.join(bounded(spark, seeds(labels, names), MOST_BROADCAST), "doc_id", "left").select("doc_id", "ids", F.coalesce("label", F.lit(-1)).alias("label")))
 
-    def labelled(b: pa.RecordBatch) -> np.ndarray:
-        return b["label"].to_numpy().astype(int)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.row() for b in blocks(batches))
 
+    told = F.broadcast(seeds(labels, names, s.labelled))
+    texts = checkpointed(spark, documents.select("doc_id", "text").join(told, "doc_id", "left").select("doc_id", "text", "told").mapInArrow(pack, Block.schema()))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, min(texts.rdd.getNumPartitions(), -(-total // TASK_TEXTS)))
+    described = _described(about, s.least[0])
     sizes = np.zeros(n, int)
-    for r in texts.filter("label >= 0").groupBy("label").count().collect():
-        sizes[r["label"]] = r["count"]
-    model = _choose(_count_terms(texts.filter("label >= 0"), labelled, n), sizes, s.least[0], s.pure[0], s.vocabulary)
-    model, sizes = _fit(spark, texts, model, sizes, s)
-    for r in range(1, s.rounds):
-        if not len(model.terms):
-            break
+    model: Model | None = None
+    for r in range(s.rounds):
+        least, pure = s.least[min(r, len(s.least) - 1)], s.pure[min(r, len(s.pure) - 1)]
+        if r == 0:  # how many texts are told each subject
 
-        def nearest(b: pa.RecordBatch, m: Model = model) -> np.ndarray:
-            words, lengths = _flat(b, "ids")
-            row, col, x = _weighted(m, words, lengths)
-            return _nearest(m, row, col, x, labelled(b), s.near)
+            def told_texts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+                return sum((np.bincount((b.told & 255).astype(np.int64), minlength=n) for b in Block.rows(batches)), np.zeros(n))
 
-        least, pure = s.least[min(r, len(s.least) - 1)], s.pure[min(r, len(s.pure) - 1)]
-        model = _choose(_count_terms(texts, nearest, n), sizes, least, pure, s.vocabulary)
-        model, sizes = _fit(spark, texts, model, sizes, s)
-    subject = _term_subjects(model, n, s.term_near)
+            sizes = _sum_matrices(texts.coalesce(tasks), told_texts).astype(int)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, lengths = _flat(b, "ids")
-            m = _mentions(model, subject, words, lengths, n)
-            row, at = np.nonzero(m >= s.mentions)
-            weak = np.flatnonzero(m.max(1) < s.mentions)
-            best = np.full(len(weak), default)
-            if len(weak) and len(subject):  # the nearest of the subjects mentioned once, or else of all
-                some_words = words[np.isin(np.repeat(np.arange(len(lengths)), lengths), weak)]
-                r, c, x = _weighted(model, some_words, lengths[weak])
-                cos = _by_subject(_unit(_embed(r, c, x, len(weak), model.vectors)) @ model.centroids.T, model.owner, n)
-                some = m[weak].max(1) > 0
-                best = np.where(some, np.where(m[weak] > 0, cos, -2).argmax(1), np.where(cos.max(1) >= s.near, cos.argmax(1), default))
-            row, at = np.r_[row, weak], np.r_[at, best]
-            ids = b["doc_id"].to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row], pa.int64()), pa.array([names[a] for a in at], pa.string()), pa.array(m[row, at], pa.int64())], ["doc_id", "subject", "mentions"]
-            )
-
-    return texts.select("doc_id", "ids").mapInArrow(decide, "doc_id long, subject string, mentions long")
+        def of_words(b: Block, m: Model | None = model) -> tuple[np.ndarray, np.ndarray]:
+            return counts(b, subject_of(b, m, s), np.arange(len(b.words) + len(b.left)) < len(b.words))
+
+        more = spark.createDataFrame(described, "term long, sn long") if r == 0 else None
+        words = _rated(_tally(texts, of_words, n, more), sizes, least, pure, s.vocabulary)
+        sure = Model(np.sort(words["term"][words["share"] >= s.sure]), np.zeros(0))
+
+        def of_pairs(b: Block, m: Model | None = model, sure: Model = sure) -> tuple[np.ndarray, np.ndarray]:
+            known = sure.places(b.words) >= 0
+            return counts(b, subject_of(b, m, s), np.r_[np.zeros(len(b.words), bool), ~(known[b.left] | known[b.right])])
+
+        pairs = _rated(_tally(texts, of_pairs, n), sizes, least, pure, s.vocabulary)
+        fresh = _vocabulary([words, pairs], sizes, s.vocabulary)
+        if not len(fresh.terms):
+            model = model or fresh  # no more terms to learn from
+            break
+
+        def weighted(batches: Iterator[pa.RecordBatch], m: Model | None = model, fresh: Model = fresh) -> Iterator[pa.RecordBatch]:
+            return (matrix(b, fresh, subject_of(b, m, s)).row() for b in Block.rows(batches))
+
+        # each task gives a whole matrix in every step: not too few texts a task
+        rows = checkpointed(spark, texts.mapInArrow(weighted, Matrix.schema())).coalesce(tasks)
+        prior = np.zeros((len(fresh.terms), n))
+        if r == 0:
+            term, subject = np.array(described, np.int64).reshape(-1, 2).T
+            at = fresh.places(term)
+            prior[at[at >= 0], subject[at >= 0] & 255] = fresh.weight[at[at >= 0]]
+            prior = _unit(prior.T).T
+        model, sizes = _fit(rows, fresh, prior, s)
+
+    def run(batches: Iterator[pa.RecordBatch], m: Any = model) -> Iterator[pa.RecordBatch]:
+        for b in Block.rows(batches):
+            row, at, k = decide(b, m, s, default, n)
+            ids = b.doc[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array([names[a] for a in at], pa.string()), pa.array(k, pa.int64())], ["doc_id", "subject", "mentions"])
+
+    return texts.mapInArrow(run, "doc_id long, subject string, mentions long")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -39,6 +39,8 @@ def pieces(token: str) -> list[str]:
     return [w] if len(w) >= SHORTEST else []
 
 
+#: Encoded data, as in binary patches: an unbroken run of so many printable characters holds no words.
+_ENCODED = re.compile(r"[!-~]{60,}")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 
 
@@ -59,30 +61,43 @@ def plain(text: str) -> str:
 
 
 def word_id(word: str) -> int:
-    """A 31-bit id."""
-    return zlib.crc32(word.encode()) >> 1
+    """A 62-bit id; pairs of words have ids above."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 2
 
 
 class Words:
-    """Texts to arrays of word ids; keeps what it has split."""
+    """Texts as places in a growing list of words; what has been split is kept."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
+        self.place: dict[int, int] = {}
 
-    def ids(self, text: str | None) -> np.ndarray:
-        text = plain(text) if text else ""
+    def places(self, text: str | None) -> np.ndarray:
+        """The words of a text, as places in :meth:`ids`."""
+        text = _ENCODED.sub(" ", plain(text)) if text else ""
         # the same words, without those that :func:`pieces` drops anyway
         tokens = (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
         new = set(tokens).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = set(tokens)
-            self.known.update((t, tuple(word_id(p) for p in pieces(t))) for t in new)
+        place = self.place
+        for t in new:
+            self.known[t] = tuple(place.setdefault(word_id(p), len(place)) for p in pieces(t))
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, tokens)), np.int64)
 
+    def ids(self) -> np.ndarray:
+        return np.fromiter(self.place, np.int64, len(self.place))
 
-def pair_ids(ids: np.ndarray) -> np.ndarray:
-    """44-bit ids of neighbouring words, one fewer than the words; no word has such an id."""
-    mixed = (ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(21)).astype(np.int64) | (1 << 43)
+    def full(self) -> bool:
+        return len(self.known) > KEPT
+
+    def make_room(self) -> None:
+        """Forgets everything, if it is much; places change their meaning then."""
+        if self.full():
+            self.known.clear()
+            self.place.clear()
+
+
+def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """62-bit ids of pairs of words, with a bit above that no word has."""
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed >> np.uint64(2)).astype(np.int64) | (1 << 62)
