@@ -17,6 +17,7 @@ from millrace.llm.words import Words, pair_ids
 #: A block holds at most so many texts, and about so many characters of them (one text at least).
 MOST_TEXTS, MOST_CHARS = 1 << 14, 1 << 25
 _WORD_BITS = 24
+NOTHING = np.zeros(0, np.uint16)
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
@@ -56,9 +57,11 @@ class Packed:
 
     @classmethod
     def rows(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[Packed]:
+        """The packed rows; what is not among the columns of the batches is left empty."""
         for b in batches:
+            there = set(b.schema.names)
             for i in range(b.num_rows):
-                yield cls(*[unpacked(b[f.name][i].as_py()) for f in fields(cls)])
+                yield cls(*[unpacked(b[f.name][i].as_py()) if f.name in there else NOTHING for f in fields(cls)])
 
 
 @dataclass

@@ -306,13 +306,16 @@ def _vocabulary(parts: list[dict[str, np.ndarray]], sizes: np.ndarray, most: int
     return Model(r["term"][best], weight.astype(np.float32))
 
 
-def _sum_matrices(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
-    """The sum of one matrix for each task of ``rows``, all of one shape, added up in blocks, ``FAN_IN`` at a time."""
+def _sum_matrices(rows: DataFrame, part: Callable[..., np.ndarray], *told: Any) -> np.ndarray:
+    """The sum of one matrix for each task of ``rows``, all of one shape, added up in blocks, ``FAN_IN`` at a time.
+
+    ``part`` makes it of the batches and of ``told``, which is broadcast, and let go afterwards."""
+    shared = rows.sparkSession.sparkContext.broadcast(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = part(batches)
+        m = part(batches, *shared.value)
         cuts = range(0, max(1, len(m)), BLOCK)
         yield pa.RecordBatch.from_arrays(
             [pa.array([c // BLOCK for c in cuts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), pa.array([m[c : c + BLOCK].astype(np.float32).tobytes() for c in cuts], pa.binary())],
@@ -329,6 +332,7 @@ def _sum_matrices(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np
         left = -(-left // FAN_IN)
         parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("block", "salt").applyInArrow(add, kind)
     got = sorted(parts.collect(), key=lambda r: r["block"])
+    shared.destroy()
     return np.concatenate([np.frombuffer(r["m"], np.float32) for r in got]).astype(float) if got else np.zeros(0)
 
 
@@ -342,8 +346,7 @@ def _fit(rows: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> tuple
     q, weight, means = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((v, k)))[0], model.weight, np.zeros((v, 0))
     for step in range(max(1, s.power)):
 
-        # what goes to the tasks is in single precision
-        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray = q.astype(np.float32), first: bool = step == 0) -> np.ndarray:
+        def power(batches: Iterator[pa.RecordBatch], q: np.ndarray, first: bool = step == 0) -> np.ndarray:
             y = np.zeros((v, k + n if first else k), np.float32)
             for m in Matrix.rows(batches):
                 row, x = m.values(weight)
@@ -355,7 +358,7 @@ def _fit(rows: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> tuple
                 y += transposed_sums(m, row, x, e, v)
             return y
 
-        y = _sum_matrices(rows, power).reshape(v, -1)
+        y = _sum_matrices(rows, power, q.astype(np.float32)).reshape(v, -1)  # what goes to the tasks is in single precision
         if step == 0:
             means = y[:, k:] + prior
             means = means / np.maximum(np.linalg.norm(means, axis=0), 1e-12)
@@ -363,12 +366,13 @@ def _fit(rows: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> tuple
     vectors = np.linalg.qr(np.concatenate([means, q], 1))[0].astype(np.float32)
     model = Model(model.terms, weight, vectors)
     c, sizes, width = np.zeros((0, vectors.shape[1]), np.float32), np.zeros(n, int), vectors.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     for _ in range(s.refine + 1):
 
         def move(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> np.ndarray:
             y = np.zeros((n, width + 1))  # sums of the texts of each subject, and their number
             for m in Matrix.rows(batches):
-                e = _unit(embedded(m, model))
+                e = _unit(embedded(m, shared.value))
                 text, subject = m.members(_nearest(e, c, s.near, s.clear) if len(c) else m.given.astype(np.int64) - 1)
                 by = np.argsort(subject, kind="stable")
                 y[:, :width] += gather_sums(np.bincount(subject, minlength=n), text[by], np.ones(len(by), np.float32), e)
@@ -379,6 +383,7 @@ def _fit(rows: DataFrame, model: Model, prior: np.ndarray, s: Settings) -> tuple
         if not len(c):
             y[:, :width] += _unit(prior.T @ vectors)
         c, sizes = _unit(y[:, :width]).astype(np.float32), y[:, width].astype(int)
+    shared.destroy()
     return Model(model.terms, weight, vectors, c), np.maximum(sizes, 1)
 
 
@@ -414,30 +419,34 @@ def assign(spark: SparkSession, documents: DataFrame, subjects: DataFrame, label
             def told_texts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
                 return sum((np.bincount((b.told & 255).astype(np.int64), minlength=n) for b in Block.rows(batches)), np.zeros(n))
 
-            sizes = _sum_matrices(texts.coalesce(tasks), told_texts).astype(int)
+            sizes = _sum_matrices(texts.select("n", "told").coalesce(tasks), told_texts).astype(int)
+
+        so_far = spark.sparkContext.broadcast(model)
+        bags = texts.select("n", *[c for c in texts.columns if c not in ("n", "word")])  # all but the order of words
 
-        def of_words(b: Block, m: Model | None = model) -> tuple[np.ndarray, np.ndarray]:
-            return counts(b, subject_of(b, m, s), np.arange(len(b.words) + len(b.left)) < len(b.words))
+        def of_words(b: Block, m: Any = so_far) -> tuple[np.ndarray, np.ndarray]:
+            return counts(b, subject_of(b, m.value, s), np.arange(len(b.words) + len(b.left)) < len(b.words))
 
         more = spark.createDataFrame(described, "term long, sn long") if r == 0 else None
-        words = _rated(_tally(texts, of_words, n, more), sizes, least, pure, s.vocabulary)
+        words = _rated(_tally(bags, of_words, n, more), sizes, least, pure, s.vocabulary)
         sure = Model(np.sort(words["term"][words["share"] >= s.sure]), np.zeros(0))
 
-        def of_pairs(b: Block, m: Model | None = model, sure: Model = sure) -> tuple[np.ndarray, np.ndarray]:
+        def of_pairs(b: Block, m: Any = so_far, sure: Model = sure) -> tuple[np.ndarray, np.ndarray]:
             known = sure.places(b.words) >= 0
-            return counts(b, subject_of(b, m, s), np.r_[np.zeros(len(b.words), bool), ~(known[b.left] | known[b.right])])
+            return counts(b, subject_of(b, m.value, s), np.r_[np.zeros(len(b.words), bool), ~(known[b.left] | known[b.right])])
 
-        pairs = _rated(_tally(texts, of_pairs, n), sizes, least, pure, s.vocabulary)
+        pairs = _rated(_tally(bags, of_pairs, n), sizes, least, pure, s.vocabulary)
         fresh = _vocabulary([words, pairs], sizes, s.vocabulary)
         if not len(fresh.terms):
             model = model or fresh  # no more terms to learn from
             break
 
-        def weighted(batches: Iterator[pa.RecordBatch], m: Model | None = model, fresh: Model = fresh) -> Iterator[pa.RecordBatch]:
-            return (matrix(b, fresh, subject_of(b, m, s)).row() for b in Block.rows(batches))
+        def weighted(batches: Iterator[pa.RecordBatch], m: Any = so_far, fresh: Model = fresh) -> Iterator[pa.RecordBatch]:
+            return (matrix(b, fresh, subject_of(b, m.value, s)).row() for b in Block.rows(batches))
 
         # each task gives a whole matrix in every step: not too few texts a task
-        rows = checkpointed(spark, texts.mapInArrow(weighted, Matrix.schema())).coalesce(tasks)
+        rows = checkpointed(spark, bags.mapInArrow(weighted, Matrix.schema())).coalesce(tasks)
+        so_far.destroy()
         prior = np.zeros((len(fresh.terms), n))
         if r == 0:
             term, subject = np.array(described, np.int64).reshape(-1, 2).T

@@ -40,7 +40,7 @@ def pieces(token: str) -> list[str]:
 
 
 #: Encoded data, as in binary patches: an unbroken run of so many printable characters holds no words.
-_ENCODED = re.compile(r"[!-~]{60,}")
+_ENCODED = re.compile(r"(?<![!-~])[!-~]{60,}+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 
 
