@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.series import HOUR_MS, SERIES, hour_of, usable
+from millrace.operators.series import HOUR_MS, SERIES, hour_of, steps, without_copies
 
 
 def _slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
@@ -30,10 +30,10 @@ def hourly_grid(measurements: DataFrame, longest_gap_hours: int = 6, shard_hours
 
     Readings are aggregated by hour before the shuffle, which bounds a hot sensor by its hours.  Each
     series is cut into time shards; a shard gets the two knots next to it on either side from its
-    neighbours, all an interval's cubic depends on.  Copies do not change which hours are observed
-    and hardly the mean.  Unusable rows are ignored, an empty table gives no rows.
+    neighbours, all an interval's cubic depends on.  Copies and unusable rows do not count, an empty table gives
+    no rows.  The missing hours of a gap come from two explosions, so one far-off event time makes no huge array.
     """
-    u = usable(measurements).withColumn("hour", hour_of(F.col("ms")))
+    u = without_copies(measurements).withColumn("hour", hour_of(F.col("ms")))
     knots = u.groupBy(*SERIES, "hour").agg(
         F.count(F.lit(1)).alias("n"), F.avg("reading").alias("y"), F.avg((F.col("ms") - F.col("hour")).cast("double")).alias("off")
     )
@@ -82,8 +82,7 @@ def hourly_grid(measurements: DataFrame, longest_gap_hours: int = 6, shard_hours
         *SERIES, "a", F.col("b.hour").alias("until"), short.alias("short"), F.when(short, h).alias("h"), F.when(short, d).alias("d"), F.when(short, sa).alias("sa"), F.when(short, sb).alias("sb")
     )
     # the missing hours of the interval, after its own
-    hours = F.sequence(F.col("a.hour"), F.coalesce(F.col("until") - HOUR_MS, F.col("a.hour")), F.lit(HOUR_MS))
-    rows = rows.select("*", F.explode(hours).alias("hour_start_ms"))
+    rows = steps(rows, F.col("a.hour"), F.coalesce(F.col("until") - HOUR_MS, F.col("a.hour")), HOUR_MS, "hour_start_ms")
     seen = F.col("hour_start_ms") == F.col("a.hour")
     s = (F.col("hour_start_ms") + HOUR_MS / 2 - F.col("a.x"))
     c2, c3 = (3 * F.col("d") - 2 * F.col("sa") - F.col("sb")) / F.col("h"), (F.col("sa") + F.col("sb") - 2 * F.col("d")) / (F.col("h") * F.col("h"))

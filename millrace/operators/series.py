@@ -59,6 +59,19 @@ def without_copies(measurements: DataFrame, keep_offset: bool = False) -> DataFr
     return u.select("topic", "sensor_name", "ms", "reading", "kafka_partition", own.alias("_own")).distinct().drop("kafka_partition", "_own")
 
 
+def steps(df: DataFrame, first: Column, last: Column, step: int, name: str, block: int = 4096) -> DataFrame:
+    """One row for each of the numbers ``first``, ``first`` + ``step``, ... up to ``last``, as the column ``name``.
+
+    In two explosions, so that a far-off time that spans a huge gap makes many rows but no huge array: a gap may be ``block`` times the
+    longest array long.
+    """
+    many = F.floor((last - first) / step)
+    cut = df.select("*", first.alias("_first"), many.alias("_many")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor(F.col("_many") / block), F.lit(0)))).alias("_block"))
+    ends = F.least((F.col("_block") + 1) * block - 1, F.col("_many"))
+    inner = F.sequence(F.col("_block") * block, F.greatest(ends, F.col("_block") * block))
+    return cut.select("*", F.explode(inner).alias("_i")).withColumn(name, F.col("_first") + F.col("_i") * step).drop("_first", "_many", "_block", "_i")
+
+
 def bounded(spark: SparkSession, small: DataFrame, most: int) -> DataFrame:
     """``small`` as a broadcast if it has at most ``most`` rows, else as it is, to be shuffled.
 

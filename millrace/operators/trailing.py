@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.series import DAY_MS, SERIES, without_copies
+from millrace.operators.series import DAY_MS, SERIES, steps, without_copies
 
 
 def daily(measurements: DataFrame) -> DataFrame:
@@ -31,11 +31,8 @@ def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), keys: Seq
     keys = list(keys)
     by = Window.partitionBy(*keys).orderBy("day")
     nxt = F.coalesce(F.lead("day").over(by) - 1, F.col("day"))
-    dense = (
-        days.withColumn("start", F.min("day").over(Window.partitionBy(*keys)))
-        .withColumn("each", F.sequence("day", nxt))
-        .select(*keys, "start", F.col("day").alias("active"), "day_sum", "day_count", F.explode("each").alias("day"))
-    )
+    spans = days.withColumn("start", F.min("day").over(Window.partitionBy(*keys))).withColumn("until", nxt).withColumnRenamed("day", "active")
+    dense = steps(spans, F.col("active"), F.col("until"), 1, "day")
     on = F.col("day") == F.col("active")
     out = dense.select(*keys, "day", (F.col("day") - F.col("start")).alias("i"), F.when(on, F.col("day_sum")).otherwise(F.lit(0.0)).alias("day_sum"), F.when(on, F.col("day_count")).otherwise(F.lit(0)).cast("long").alias("day_count"))
     for w in windows:

@@ -23,12 +23,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every hour of every series with its value and how it came about."""
-    return grid.hourly_grid(table(spark, d, "measurements"))
+    """Every hour of every series with its value and how it came about; rounded for comparison, a little off the middle between two values."""
+    return grid.hourly_grid(table(spark, d, "measurements")).withColumn("value", F.round(F.col("value") + 1.2345e-8, 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_grid(spark, d).filter(F.col("n_readings") == 0).select("topic", "sensor_name", "hour_start_ms")
+    return grid.hourly_grid(table(spark, d, "measurements")).filter(F.col("n_readings") == 0).select("topic", "sensor_name", "hour_start_ms")
 
 
 def p4_committed(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    t = trailing.activity(table(spark, d, "measurements"), windows=(7,))
+    t = trailing.activity(table(spark, d, "measurements"))
     return t.filter((F.col("day_count") == 0) & (F.col("count_7") > 0)).select("topic", "sensor_name", "activity_day")
 
 
@@ -97,7 +97,25 @@ def _aggs(prefix: str, on: str) -> str:
         round(arg_min(reading, (ms, kafka_partition, kafka_offset)) {f}, 4) AS {prefix}_first, round(arg_max(reading, (ms, kafka_partition, kafka_offset)) {f}, 4) AS {prefix}_last"""
 
 
+_END = "CASE WHEN s * {d0} <= 0 THEN 0 WHEN {d0} * {d1} <= 0 AND abs(s) > 3 * abs({d0}) THEN 3 * {d0} ELSE s END"
+_GRID = _ONCE + f""",
+h AS (SELECT topic, sensor_name, ms - ms % 3600000 AS hour, count(*) AS n, avg(reading) AS y, hour + avg(CAST(ms % 3600000 AS DOUBLE)) AS x FROM c GROUP BY topic, sensor_name, hour),
+k AS (SELECT *, lag(hour) OVER w AS ph, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(hour) OVER w AS bh, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(hour, 2) OVER w AS qh, lead(x, 2) OVER w AS qx, lead(y, 2) OVER w AS qy
+      FROM h WINDOW w AS (PARTITION BY topic, sensor_name ORDER BY hour)),
+i AS (SELECT *, coalesce(bh - hour <= 25200000, false) AS short, coalesce(hour - ph <= 25200000, false) AS l, coalesce(qh - bh <= 25200000, false) AS r,
+        bx - x AS d_x, (by_ - y) / (bx - x) AS d, x - px AS hp, (y - py) / (x - px) AS dp, qx - bx AS hq, (qy - by_) / (qx - bx) AS dq FROM k),
+e AS (SELECT *, ((2 * d_x + hq) * d - d_x * dq) / (d_x + hq) AS ea, ((2 * d_x + hp) * d - d_x * dp) / (d_x + hp) AS eb FROM i),
+t AS (SELECT *, CASE WHEN l THEN CASE WHEN dp * d > 0 THEN (3 * d_x + 3 * hp) / ((2 * d_x + hp) / dp + (d_x + 2 * hp) / d) ELSE 0 END
+          WHEN r THEN {_END.replace("s ", "ea ").replace("(s)", "(ea)").format(d0="d", d1="dq")} ELSE d END AS sa,
+        CASE WHEN r THEN CASE WHEN d * dq > 0 THEN (3 * hq + 3 * d_x) / ((2 * hq + d_x) / d + (hq + 2 * d_x) / dq) ELSE 0 END
+          WHEN l THEN {_END.replace("s ", "eb ").replace("(s)", "(eb)").format(d0="d", d1="dp")} ELSE d END AS sb FROM e),
+g AS (SELECT *, unnest(range(hour, coalesce(bh, hour + 1), 3600000)) AS hour_start_ms FROM t),
+o AS (SELECT *, hour_start_ms + 1800000 - x AS z FROM g)"""
+
 SQL: dict[str, str] = {
+    "p3_grid": f"""WITH {_GRID} SELECT topic, sensor_name, hour_start_ms, CASE WHEN hour_start_ms = hour THEN n ELSE 0 END AS n_readings,
+        round(CASE WHEN hour_start_ms = hour THEN y WHEN short THEN y + z * (sa + z * ((3 * d - 2 * sa - sb) / d_x + z * (sa + sb - 2 * d) / (d_x * d_x))) END + 1.2345e-8, 6) AS value,
+        CASE WHEN hour_start_ms = hour THEN 'observed' WHEN short THEN 'filled' ELSE 'gap' END AS status FROM o""",
     "p3_found": f"""WITH {_USABLE},
 h AS (SELECT topic, sensor_name, ms - ms % 3600000 AS hour_start_ms FROM u GROUP BY ALL),
 a AS (SELECT topic, sensor_name, unnest(range(min(hour_start_ms), max(hour_start_ms), 3600000)) AS hour_start_ms FROM h GROUP BY topic, sensor_name)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as S
 
 from millrace.operators import faults, grid, incremental, lateness, robust_ar, trailing
-from millrace.operators.series import bounded, without_copies
+from millrace.operators.series import bounded, steps, without_copies
 
 T0 = 1_230_768_000_000
 H, D = 3_600_000, 86_400_000
@@ -112,6 +112,22 @@ def test_grid_awkward(measurements):
     assert grid.hourly_grid(measurements([])).count() == 0
 
 
+def test_steps(spark):
+    df = spark.createDataFrame([(0, 10), (5, 5), (7, 6), (3, 3 + 20_000 * 5)], "a long, b long").withColumn("note", S.lit("x"))
+    got = collections.defaultdict(list)
+    for r in steps(df, S.col("a"), S.col("b"), 5, "c", block=7).collect():
+        got[(r["a"], r["b"])].append(r["c"])
+    assert {k: sorted(v) for k, v in got.items()} == {(0, 10): [0, 5, 10], (5, 5): [5], (7, 6): [7], (3, 100_003): list(range(3, 100_004, 5))}
+
+
+def test_a_far_off_time_makes_rows_but_no_huge_array(measurements):
+    far = T0 + 2_000_000 * H  # 228 years on
+    rows = [("temperature", 0, 1, T0, "a", 1.0), ("temperature", 0, 2, far, "a", 2.0), ("temperature", 0, 3, far, "a", 2.0)]
+    t = grid.hourly_grid(measurements(rows))
+    assert t.count() == 2_000_001 and t.filter("hour_start_ms = %d" % far).first()["n_readings"] == 1  # a copy does not count
+    assert trailing.activity(measurements(rows)).count() == 2_000_000 // 24 + 1
+
+
 # trailing
 
 
