@@ -89,6 +89,11 @@ _LATE = _ONCE + """,
 w AS (SELECT topic, kafka_partition, as_of_offset, max(epoch_ms(watermark)) OVER (PARTITION BY topic, kafka_partition ORDER BY as_of_offset) AS wm FROM window_checkpoints WHERE watermark IS NOT NULL),
 v AS (SELECT c.*, w.wm, c.ms - c.ms % 3600000 AS window_start_ms FROM c ASOF LEFT JOIN w ON c.topic = w.topic AND c.kafka_partition = w.kafka_partition AND c.kafka_offset > w.as_of_offset),
 s AS (SELECT *, CASE WHEN NOT coalesce(wm >= window_start_ms + 3600000, false) THEN 0 WHEN ms >= wm - 21600000 THEN 1 ELSE 2 END AS state FROM v)"""
+_RISE = """,
+p AS (SELECT *, lag(reading) OVER w AS provisional_before FROM s WHERE state = 0 WINDOW w AS (PARTITION BY topic, sensor_name, window_start_ms ORDER BY ms, kafka_partition, kafka_offset)),
+f AS (SELECT *, lag(reading) OVER w AS final_before FROM s WHERE state <= 1 WINDOW w AS (PARTITION BY topic, sensor_name, window_start_ms ORDER BY ms, kafka_partition, kafka_offset)),
+pr AS (SELECT topic, sensor_name, window_start_ms, round(coalesce(max(greatest(reading - provisional_before, 0)), 0), 4) AS provisional_rise FROM p GROUP BY ALL),
+fr AS (SELECT topic, sensor_name, window_start_ms, round(coalesce(max(greatest(reading - final_before, 0)), 0), 4) AS final_rise FROM f GROUP BY ALL)"""
 
 
 def _aggs(prefix: str, on: str) -> str:
@@ -131,6 +136,7 @@ SELECT l.topic, l.kafka_partition, l.kafka_offset FROM l LEFT JOIN m USING (topi
         round(sum_7, 4) AS sum_7, count_7, CASE WHEN count_7 > 0 THEN round(sum_7, 4) / count_7 END AS avg_7,
         round(sum_30, 4) AS sum_30, count_30, CASE WHEN count_30 > 0 THEN round(sum_30, 4) / count_30 END AS avg_30 FROM t""",
     "p6_found": f"WITH {_LATE} SELECT DISTINCT topic, sensor_name, window_start_ms FROM s WHERE state = 1",
-    "p6_windows": f"""WITH {_LATE} SELECT topic, sensor_name, window_start_ms, {_aggs("provisional", "WHERE state = 0")}, {_aggs("final", "WHERE state <= 1")},
-        count(*) FILTER (WHERE state = 1) AS n_late_accepted, count(*) FILTER (WHERE state = 2) AS n_late_dropped FROM s GROUP BY topic, sensor_name, window_start_ms""",
+    "p6_windows": f"""WITH {_LATE}{_RISE}, a AS (SELECT topic, sensor_name, window_start_ms, {_aggs("provisional", "WHERE state = 0")}, {_aggs("final", "WHERE state <= 1")},
+        count(*) FILTER (WHERE state = 1) AS n_late_accepted, count(*) FILTER (WHERE state = 2) AS n_late_dropped FROM s GROUP BY topic, sensor_name, window_start_ms)
+        SELECT a.*, provisional_rise, final_rise FROM a LEFT JOIN pr USING (topic, sensor_name, window_start_ms) LEFT JOIN fr USING (topic, sensor_name, window_start_ms)""",
 }
