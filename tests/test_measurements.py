@@ -210,6 +210,32 @@ def test_unprocessed_awkward(spark, measurements):
     assert incremental.unprocessed(spark, measurements([]), none).count() == 0
 
 
+def test_ledger_over_failing_runs(spark, measurements, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "y"]), rng.choice([0, 1]), o, rng.choice([T0, T0 + 1, T0 + 3 * D, None]), rng.choice(["a", " A", None]), rng.choice([1.0, -0.0, NAN, None])) for o in range(300)]
+    df = measurements(rows)
+    at = lambda o, n: spark.createDataFrame([(t, p, o) for t in "xy" for p in (0, 1)], f"topic string, kafka_partition int, {n} long")
+    ledger, got = incremental.Ledger(spark, str(tmp_path / "ledger")), []
+
+    def run(i, upto, opened=None, fails=False):
+        new = ledger.fresh(df.filter(S.col("kafka_offset") <= upto))
+        rows = [tuple(r) for r in new.select("topic", "kafka_partition", "kafka_offset").collect()]
+        if fails:  # the pairs are written, the offsets never are
+            new.select(*incremental.PAIR, "kafka_offset", S.lit(14245).cast("long").alias("day")).write.partitionBy("day").parquet(str(tmp_path / "ledger" / "pairs" / f"run={i}"))
+            return
+        got.extend(rows)
+        ledger.commit(i, new, at(upto, "upto"), None if opened is None else at(opened, "open_from"))
+
+    run(1, 100)
+    run(2, 180, fails=True)
+    run(2, 180, opened=120)  # the next run rereads from 120
+    assert {tuple(r) for r in ledger.offsets().collect()} == {(t, p, 119, 180) for t in "xy" for p in (0, 1)}
+    run(3, 250)
+    run(4, 250)
+    run(5, 299)
+    assert len(got) == len(set(got)) and set(got) == brute_unprocessed(rows, {})
+
+
 # lateness
 
 
