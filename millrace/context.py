@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 from typing import Any
 
 from pyspark.sql import DataFrame as SparkDataFrame
@@ -78,6 +79,22 @@ class Context:
         """SQL over what is registered, streams included."""
         return DataFrame(self.spark.sql(query))
 
+    def stop_on_signals(self, *signals: int) -> None:
+        """Stops the streams started from here when the process is interrupted or asked to end; what handled the signal before goes on
+        afterwards.  For the main thread."""
+        for s in signals or (signal.SIGINT, signal.SIGTERM):
+            before = signal.getsignal(s)
+
+            def handle(number: int, frame: Any, before: Any = before) -> None:
+                self.shutdown()
+                if callable(before):
+                    before(number, frame)
+                elif before == signal.SIG_DFL:
+                    signal.signal(number, signal.SIG_DFL)
+                    signal.raise_signal(number)
+
+            signal.signal(s, handle)
+
     def shutdown(self) -> None:
         """Stops the streams started from here."""
         for q in self.running:

@@ -150,6 +150,20 @@ def string_agg(expression: Any, delimiter: str, filter: Any = None, order_by: Se
     return _agg("string_agg", make, expression, filter=filter, order_by=order_by)
 
 
+def _extreme(s: Spec, x: Column, keys: Sequence[SortExpr], last: bool) -> Column:
+    """The value at one end of an order whose keys all go one way: the least or greatest key wins, no row is collected."""
+    up = keys[0].ascending()
+    parts = []
+    for i, k in enumerate(keys):
+        null = c(k.expr()).isNull()
+        parts += [F.when(null, F.lit(0 if k.nulls_first() == up else 1)).otherwise(F.lit(1 if k.nulls_first() == up else 0)).alias(f"n{i}"), c(k.expr()).alias(f"k{i}")]
+    keep = x.isNotNull() if s.ignore_nulls() else None
+    if s.filter is not None:
+        keep = c(s.filter) if keep is None else keep & c(s.filter)
+    at = F.struct(*parts) if keep is None else F.when(keep, F.struct(*parts))
+    return F.max_by(x, at) if up == last else F.min_by(x, at)
+
+
 def _edge(name: str, last: bool):
     def f(expression: Any, filter: Any = None, order_by: Sequence[Any] | None = None, null_treatment: NullTreatment | None = None) -> Expr:
         def make(s: Spec) -> Column:
@@ -163,6 +177,8 @@ def _edge(name: str, last: bool):
                     return pick(x, F.lit(s.ignore_nulls()))
                 boxed = F.when(c(s.filter) & (x.isNotNull() if s.ignore_nulls() else F.lit(True)), F.struct(x.alias("v")))
                 return pick(boxed, F.lit(True))["v"]
+            if len({k.ascending() for k in keys}) == 1:
+                return _extreme(s, x, keys, last)
             a = _collected(s, x, skip_nulls=s.ignore_nulls())
             return F.try_element_at(a, F.lit(-1 if last else 1))
 

@@ -59,12 +59,12 @@ def array_ndims(array: Any) -> Expr:
 
 def array_dims(array: Any) -> Expr:
     """The length in each dimension, taken from first elements, up to six dimensions."""
-    # as text the depth need not be known: each level is the first element of the one before
-    levels = [F.to_json(c(array))]
-    for _ in range_(5):
-        levels.append(F.get_json_object(levels[-1], "$[0]"))
-    sizes = F.array(*[F.json_array_length(x).cast("bigint") for x in levels])
-    return _e(F.when(c(array).isNotNull(), F.slice(sizes, F.lit(1), c(array_ndims(array)).cast("int"))), array, name="array_dims")
+    a = c(array)
+    # the depth is in the type, so branches beyond it are folded away; deeper levels are read from the first element as text
+    depth = F.length(F.regexp_substr(F.typeof(a), F.lit("^(array<)+"))) / 6
+    first = F.to_json(F.slice(a, F.lit(1), F.lit(1)))
+    levels = [F.size(a).cast("bigint"), *[F.when(depth > i, F.json_array_length(F.get_json_object(first, "$" + "[0]" * i)).cast("bigint")) for i in range_(1, 6)]]
+    return _e(F.when(a.isNotNull(), F.slice(F.array(*levels), F.lit(1), depth.cast("int"))), array, name="array_dims")
 
 
 def array_distinct(array: Any) -> Expr:

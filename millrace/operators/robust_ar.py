@@ -274,8 +274,9 @@ def _confirm(x: np.ndarray, t: np.ndarray, out: np.ndarray, slack: float, longes
     """Keeps marked readings that lie far off the level on either side of them.
 
     The level before and after is the median of up to three unmarked readings near in time; across
-    a gap the course may have changed, so there only the other side counts.  Runs of marks longer
-    than ``longest`` are no brief excursions.
+    a gap the course may have changed, so there only the other side counts.  Runs of marks at more than
+    ``longest`` times are no brief excursions, unless the level after them is that before (then three times as
+    many); readings at one time count once.
     """
     near, res = reach(t), out.copy()
     for _ in range(8):
@@ -300,8 +301,15 @@ def _confirm(x: np.ndarray, t: np.ndarray, out: np.ndarray, slack: float, longes
             break
         res[marked[~far]] = False  # and serves as a level in the next round
     edge = np.flatnonzero(np.diff(np.r_[0, res.astype(np.int8), 0]))
+    good = np.flatnonzero(~res)
     for a, b in zip(edge[::2], edge[1::2]):
-        if b - a > longest:
+        times = len(np.unique(t[a:b]))
+        if times <= longest:
+            continue
+        at = np.searchsorted(good, a)
+        left, right = good[max(0, at - 3) : at], good[at : at + 3]
+        returns = len(left) and len(right) and t[right[0]] - t[left[-1]] <= near + (t[b - 1] - t[a]) and abs(np.median(x[left]) - np.median(x[right])) <= slack
+        if times > 3 * longest or not returns:
             res[a:b] = False
     return res
 

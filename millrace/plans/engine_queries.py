@@ -25,14 +25,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+def keeper(queries: dict[str, Query], sqls: dict[str, str]):
+    """A decorator, which takes the SQL of a query, that enters both under the function's name."""
+
+    def query(sql: str | None = None):
+        def keep(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = keeper(QUERIES, SQL)
 
 
 def events(spark: SparkSession, d: str) -> DataStream:

@@ -25,17 +25,30 @@ def encoding(name: str) -> str:
     return name.lower()
 
 
+#: The options of Spark's own topic reader; all others are the consumer's and get its prefix.
+READER_OPTIONS = (
+    "assign", "endingOffsets", "endingOffsetsByTimestamp", "endingTimestamp", "failOnDataLoss", "fetchOffset.numRetries", "fetchOffset.retryIntervalMs", "groupIdPrefix",
+    "includeHeaders", "kafkaConsumer.pollTimeoutMs", "maxOffsetsPerTrigger", "maxRecordsPerPartition", "maxTriggerDelay", "minOffsetsPerTrigger", "minPartitions", "startingOffsets",
+    "startingOffsetsByTimestamp", "startingOffsetsByTimestampStrategy", "startingTimestamp", "subscribe", "subscribePattern",
+)
+_READER = {k.lower(): k for k in READER_OPTIONS}
+
+
 def source_options(bootstrap_servers: str, topic: str, opts: dict[str, str] | None = None) -> dict[str, str]:
     """Options of the reader.  ``auto.offset.reset`` (earliest) becomes the starting offsets; where a checkpoint has offsets they
-    win, and nothing is committed to the broker."""
+    win, and nothing is committed to the broker.  Offsets that the broker no longer has fail the stream unless ``failOnDataLoss``
+    is set to false."""
     o = dict(opts or {})
     start = o.pop("auto.offset.reset", "earliest")
     o.pop("enable.auto.commit", None)
     group = o.pop("group.id", None)
-    out = {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic, "startingOffsets": start, "failOnDataLoss": "false"}
+    out = {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic, "startingOffsets": start, "failOnDataLoss": "true"}
     if group:
         out["groupIdPrefix"] = group
-    return out | {k if k.startswith(("kafka.", "max", "min")) else f"kafka.{k}": v for k, v in o.items()}
+    given = {_READER.get(k.lower(), k if k.startswith("kafka.") else f"kafka.{k}"): v for k, v in o.items()}
+    if {"assign", "subscribePattern"} & given.keys():  # instead of the topic
+        del out["subscribe"]
+    return out | given
 
 
 def sink_options(bootstrap_servers: str, topic: str, opts: dict[str, str] | None = None) -> dict[str, str]:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from enum import Enum
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +141,27 @@ class UDAFCall:
         return UDAFCall(self.udaf, self.args, name)
 
 
+def _groups(t: pa.Table, nk: int) -> Iterator[tuple[tuple[Any, ...], pa.Table]]:
+    """The groups of a batch by its columns k0, k1, ...: the values and the rows.  Sorted once by numbers that stand for the keys."""
+    if not nk or not t.num_rows:
+        if t.num_rows:
+            yield (), t
+        return
+    code = np.zeros(t.num_rows, np.int64)
+    for i in range(nk):
+        c = t[f"k{i}"].combine_chunks()
+        if pa.types.is_nested(c.type):
+            c = pa.array([repr(x) for x in c.to_pylist()])
+        enc = c if pa.types.is_dictionary(c.type) else c.dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * max(1, len(enc.dictionary)) + enc.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    by = np.argsort(code, kind="stable")
+    t, code = t.take(pa.array(by)), code[by]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    keys = zip(*[t[f"k{i}"].take(pa.array(starts)).to_pylist() for i in range(nk)])
+    for key, a, b in zip(keys, starts, [*starts[1:], len(code)]):
+        yield key, t.slice(a, b - a)
+
+
 def aggregate_with_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall]) -> DataFrame:
     """One row for each group: the keys and the results of ``calls``.  Keys compare null-safe, as in a group by."""
     names = [df.select(k).columns[0] for k in keys]
@@ -156,15 +178,10 @@ def aggregate_with_udafs(df: DataFrame, keys: list[Column], calls: list[UDAFCall
         kinds = None
         for b in batches:
             kinds = [b.schema.field(f"k{i}").type for i in range(nk)]
-            t = pa.Table.from_batches([b])
-            rows: dict[Any, Any] = {}
-            marks = list(zip(*[b.column(i).to_pylist() for i in range(nk)])) if nk else [()] * b.num_rows
-            for r, k in enumerate(marks):
-                rows.setdefault(repr(k) if any(isinstance(x, (dict, list)) for x in k) else k, [k, []])[1].append(r)
-            for key, (k, at) in rows.items():
+            for k, part in _groups(pa.Table.from_batches([b]), nk):
+                key = repr(k) if any(isinstance(x, (dict, list)) for x in k) else k
                 if key not in held:
                     held[key] = [k, [make() for make, *_ in specs]]
-                part = t.take(at)
                 for i, ((_, n, *_), acc) in enumerate(zip(specs, held[key][1])):
                     acc.update(*[part[f"a{i}_{j}"].combine_chunks() for j in range(n)])
             if len(held) > 100_000:

@@ -6,10 +6,10 @@ import pytest
 from oracle import connect, same
 
 from millrace import functions
-from millrace.plans import engine_queries, function_queries, measurement_queries
+from millrace.plans import engine_queries, function_queries, measurement_queries, stream_queries
 
 D = "/root/testdata/sf0.001"
-MODULES = (engine_queries, function_queries, measurement_queries)
+MODULES = (engine_queries, function_queries, measurement_queries, stream_queries)
 ALL = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
