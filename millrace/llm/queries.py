@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,13 @@ def _named(days: DataFrame) -> DataFrame:
     return days.select("topic", "sensor_name", day, *[c for c in days.columns if c not in SERIES_DAY])
 
 
+def _rounded(t: DataFrame) -> DataFrame:
+    return t.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
+
+
 def p1_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each series and day, within 1 % of the value of that rank."""
-    return _named(quantiles.percentiles(_daily_sketch(spark, d), SERIES_DAY, QUANTILES))
+    """Percentiles of each series and day, within 1 % of the value of that rank; rounded for comparison."""
+    return _rounded(_named(quantiles.percentiles(_daily_sketch(spark, d), SERIES_DAY, QUANTILES)))
 
 
 def p1_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +43,9 @@ def p1_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_period(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each series over all days, combined from the daily sketches."""
+    """Percentiles of each series over all days, combined from the daily sketches; rounded for comparison."""
     keys = ["topic", "sensor_name"]
-    return quantiles.percentiles(quantiles.combine(_daily_sketch(spark, d), keys), keys, QUANTILES)
+    return _rounded(quantiles.percentiles(quantiles.combine(_daily_sketch(spark, d), keys), keys, QUANTILES))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -68,10 +73,24 @@ _BUCKET = f"""CASE WHEN reading = 0 THEN 0 WHEN isinf(reading) THEN sign(reading
     ELSE sign(reading) * (ceil(ln(abs(reading)) / {_LG[0]!r}) + {_LG[1]}) END"""
 _AT = ", ".join(f"CAST(min(CASE WHEN upto >= greatest(ceil(total * CAST({q} AS DOUBLE)), 1) THEN bucket END) AS INTEGER) AS b{quantiles.percentile_name(q)[1:]}" for q in QUANTILES)
 
-SQL: dict[str, str] = {
-    "p1_buckets": f"""WITH c AS (SELECT DISTINCT topic, lower(trim(sensor_name, ' ')) AS sensor_name, occurred_at_ms AS ms, reading, kafka_partition FROM measurements
+_MIDDLE = f"CASE WHEN b = 0 THEN 0 WHEN abs(b) = {_LG[2]} THEN sign(b) * CAST('inf' AS DOUBLE) ELSE sign(b) * exp((abs(b) - {_LG[1]}) * {_LG[0]!r} + {math.log(2 / (math.exp(_LG[0]) + 1))!r}) END"
+_NAMES = [quantiles.percentile_name(q) for q in QUANTILES]
+
+
+def _buckets(day: str) -> str:
+    """Ranks of buckets by series, and by ``day`` if it is given."""
+    return f"""WITH c AS (SELECT DISTINCT topic, lower(trim(sensor_name, ' ')) AS sensor_name, occurred_at_ms AS ms, reading, kafka_partition FROM measurements
   WHERE topic IS NOT NULL AND sensor_name IS NOT NULL AND occurred_at_ms >= 1000000000000 AND reading IS NOT NULL AND NOT isnan(reading)),
-k AS (SELECT topic, sensor_name, ms // 86400000 AS day, {_BUCKET} AS bucket, count(*) AS n FROM c GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY topic, sensor_name, day ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY topic, sensor_name, day) AS total FROM k)
-SELECT topic, sensor_name, strftime(make_date(CAST(day AS INTEGER)), '%Y-%m-%d') AS activity_day, CAST(max(total) AS BIGINT) AS n_values, {_AT} FROM r GROUP BY topic, sensor_name, day""",
+k AS (SELECT topic, sensor_name, {day or "0"} AS day, {_BUCKET} AS bucket, count(*) AS n FROM c GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY topic, sensor_name, day ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY topic, sensor_name, day) AS total FROM k),
+q AS (SELECT topic, sensor_name, day, CAST(max(total) AS BIGINT) AS n_values, {_AT} FROM r GROUP BY topic, sensor_name, day)"""
+
+
+_DAY = "strftime(make_date(CAST(day AS INTEGER)), '%Y-%m-%d') AS activity_day"
+_VALUES = ", ".join(f"round({_MIDDLE.replace('(b)', f'(b{n[1:]})').replace('WHEN b =', f'WHEN b{n[1:]} =')}, 6) AS {n}" for n in _NAMES)
+
+SQL: dict[str, str] = {
+    "p1_buckets": f"{_buckets('ms // 86400000')} SELECT topic, sensor_name, {_DAY}, n_values, {', '.join('b' + n[1:] for n in _NAMES)} FROM q",
+    "p1_daily": f"{_buckets('ms // 86400000')} SELECT topic, sensor_name, {_DAY}, n_values, {_VALUES} FROM q",
+    "p1_period": f"{_buckets('')} SELECT topic, sensor_name, n_values, {_VALUES} FROM q",
 }
