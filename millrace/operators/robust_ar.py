@@ -196,8 +196,8 @@ def _median5(x: np.ndarray) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(pad, 7), axis=1)
 
 
-def spikes(x: np.ndarray, t: np.ndarray, limit: float = 6.0, apart: float = 5.0, longest: int = 4, rounds: int = 12) -> np.ndarray:
-    """Marks brief excursions: additive outliers of 1 to ``longest`` readings.
+def spikes(x: np.ndarray, t: np.ndarray, limit: float = 6.0, apart: float = 5.0, lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8), rounds: int = 12) -> np.ndarray:
+    """Marks brief excursions: additive outliers of about as many readings as ``lengths`` lists.
 
     On the innovations of :func:`fit_ar`, each round tests for every reading an additive patch of
     each length against a lasting shift of level (Chen and Liu's iterative procedure), takes the
@@ -217,9 +217,10 @@ def spikes(x: np.ndarray, t: np.ndarray, limit: float = 6.0, apart: float = 5.0,
     scale = max(scale, 0.5 * grain, 1e-9)
     phi = beta[1:3]
     boxes = []
+    longest = lengths[-1]
     horizon = 3 * longest
     impulse = np.array([1.0, -phi[0], -phi[1]])
-    for k in range(1, longest + 1):
+    for k in lengths:
         boxes.append(np.convolve(np.ones(k), impulse))
     shift = np.convolve(np.ones(horizon), impulse)[:horizon]
     e = np.r_[e, np.zeros(horizon)]
@@ -250,7 +251,7 @@ def spikes(x: np.ndarray, t: np.ndarray, limit: float = 6.0, apart: float = 5.0,
             else:
                 g = boxes[best[i]]
                 e[i : i + len(g)] -= size[best[i]][i] * g
-                out[i : i + best[i] + 1] = True
+                out[i : i + lengths[best[i]]] = True
     return _confirm(x, t, out, apart * max(scale, spread), longest)
 
 
@@ -275,8 +276,8 @@ def _confirm(x: np.ndarray, t: np.ndarray, out: np.ndarray, slack: float, longes
 
     The level before and after is the median of up to three unmarked readings near in time; across
     a gap the course may have changed, so there only the other side counts.  Runs of marks at more than
-    ``longest`` times are no brief excursions, unless the level after them is that before (then three times as
-    many); readings at one time count once.
+    ``longest`` times are no brief excursions, unless the level after them is that before (then twice as many);
+    readings at one time count once.
     """
     near, res = reach(t), out.copy()
     for _ in range(8):
@@ -309,7 +310,7 @@ def _confirm(x: np.ndarray, t: np.ndarray, out: np.ndarray, slack: float, longes
         at = np.searchsorted(good, a)
         left, right = good[max(0, at - 3) : at], good[at : at + 3]
         returns = len(left) and len(right) and t[right[0]] - t[left[-1]] <= near + (t[b - 1] - t[a]) and abs(np.median(x[left]) - np.median(x[right])) <= slack
-        if times > 3 * longest or not returns:
+        if times > 2 * longest or not returns:
             res[a:b] = False
     return res
 

@@ -284,6 +284,17 @@ def agg_approx(spark, d):
     return frame(spark, d, "lineitem").aggregate("l_returnflag", aggs).df
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS parts_near, true AS median_near, true AS p90_near, true AS weighted_near FROM lineitem GROUP BY ALL")
+def agg_approx_bounds(spark, d):
+    """Whether the sketches of :func:`agg_approx` are within their bounds of the exact values."""
+    x, w = S.col("l_extendedprice"), S.col("l_linenumber").cast("bigint")
+    exact = table(spark, d, "lineitem").groupBy("l_returnflag").agg(S.count_distinct("l_partkey").alias("n"), *[S.percentile(x, q).alias(c) for q, c in ((0.495, "m0"), (0.505, "m1"), (0.895, "h0"), (0.905, "h1"))], S.percentile(x, 0.5, w).alias("wm"))
+    t = agg_approx(spark, d).join(exact, "l_returnflag")
+    near = [((S.col("parts") - S.col("n")) / S.col("n")).between(-0.2, 0.2), S.col("med").between(S.col("m0"), S.col("m1")), S.col("p90").between(S.col("h0"), S.col("h1")), S.col("weighted") == S.col("wm")]
+    names = ("parts_near", "median_near", "p90_near", "weighted_near")
+    return t.select("l_returnflag", S.col("n").alias("parts"), *[c.alias(n) for c, n in zip(near, names)])
+
+
 # window functions
 
 

@@ -242,3 +242,71 @@ def test_names_of_types_and_nodes(ctx, t):
     names = common.plan_nodes(t.filter(col("k") > 1).aggregate("s", [F.count_star().alias("n")]).sort(col("s")).limit(3))
     assert "Aggregate" in names
     assert len(common.expr_list_to_raw_expr_list([col("k"), 1])) == 2 and common.sort_list_to_raw_sort_list(None) is None
+
+
+def test_reader_options():
+    from millrace.sources.kafka import source_options
+
+    o = source_options("b:1", "t", {"auto.offset.reset": "latest", "group.id": "g", "enable.auto.commit": "false", "max.poll.interval.ms": "5", "max.partition.fetch.bytes": "6", "maxOffsetsPerTrigger": "7", "minpartitions": "8", "kafka.security.protocol": "SSL", "fetch.min.bytes": "9"})
+    assert o == {
+        "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "true", "groupIdPrefix": "g", "kafka.max.poll.interval.ms": "5",
+        "kafka.max.partition.fetch.bytes": "6", "maxOffsetsPerTrigger": "7", "minPartitions": "8", "kafka.security.protocol": "SSL", "kafka.fetch.min.bytes": "9",
+    }
+    assert source_options("b:1", "t")["startingOffsets"] == "earliest"
+    assert source_options("b:1", "t", {"failOnDataLoss": "false"})["failOnDataLoss"] == "false"
+    assert "subscribe" not in source_options("b:1", "t", {"subscribePattern": "t.*"})
+
+
+def test_signals_stop_streams(spark):
+    import signal
+
+    from millrace.context import Context
+
+    class Running:
+        isActive = True
+
+        def stop(self):
+            self.isActive = False
+
+    seen = []
+    before = signal.signal(signal.SIGUSR1, lambda *a: seen.append(a[0]))
+    try:
+        ctx, q = Context(spark), Running()
+        ctx.running.append(q)
+        ctx.stop_on_signals(signal.SIGUSR1)
+        signal.raise_signal(signal.SIGUSR1)
+        assert not q.isActive and not ctx.running and seen == [signal.SIGUSR1]
+    finally:
+        signal.signal(signal.SIGUSR1, before)
+
+
+def test_ordered_ends_are_those_of_sorted_rows(spark):
+    import itertools
+
+    from millrace import functions as F
+    from millrace.expr import col
+    from millrace.frame import DataFrame
+
+    rows = [(1, 2, "a", 10), (1, None, "b", 20), (1, 1, None, 30), (1, 2, "c", None), (2, None, None, 1)]
+    t = DataFrame(spark.createDataFrame(rows, "g int, k int, s string, v int"))
+    for up, first in itertools.product((True, False), repeat=2):
+        by = [col("k").sort(ascending=up, nulls_first=first), col("s").sort(ascending=up, nulls_first=first)]
+
+        def key(r, up=up, first=first):
+            return [((0 if first else 2) if x is None else 1, 0 if x is None else (x if up else -x) if isinstance(x, int) else (ord(x) if up else -ord(x))) for x in r[1:3]]
+
+        want = sorted([r for r in rows if r[0] == 1], key=key)
+        got = t.aggregate("g", [F.first_value(col("v"), order_by=by).alias("f"), F.last_value(col("v"), order_by=by).alias("l"), F.first_value(col("v"), filter=col("v") > 10, order_by=by).alias("x")]).to_pylist()
+        got = {r["g"]: r for r in got}
+        assert (got[1]["f"], got[1]["l"]) == (want[0][3], want[-1][3]) and got[1]["x"] == next(r[3] for r in want if r[3] and r[3] > 10) and got[2]["f"] == 1
+
+
+def test_groups_of_a_batch():
+    import pyarrow as pa
+
+    from millrace.udf import _groups
+
+    t = pa.table({"k0": pa.array(["a", None, "a", "b", None]), "k1": pa.array([[1], [1], [1], None, [2]]), "a0_0": pa.array([1, 2, 3, 4, 5])})
+    got = {repr(k): p["a0_0"].to_pylist() for k, p in _groups(t, 2)}
+    assert got == {"('a', [1])": [1, 3], "(None, [1])": [2], "('b', None)": [4], "(None, [2])": [5]}
+    assert [k for k, _ in _groups(t, 0)] == [()] and list(_groups(t.slice(0, 0), 2)) == []

@@ -307,6 +307,25 @@ def test_spikes_stuck_and_limits():
     assert set(np.flatnonzero(f == robust_ar.LIMIT)) == {1700}
 
 
+@pytest.mark.parametrize("length", [1, 2, 4, 5, 6, 8])
+def test_excursions_of_any_brief_length(length):
+    t, x = course(2000, length)
+    own = np.zeros(len(x), bool)
+    for i in range(100, 1900, 150):
+        x[i : i + length] += 12.0 if i % 300 else -12.0
+        own[i : i + length] = True
+    assert (robust_ar.find_faults(x, t, -459.67, 500.0) == np.where(own, robust_ar.SPIKE, robust_ar.NONE)).all()
+
+
+def test_neighbouring_excursions_and_corrections():
+    t, x = course(1500, 9)
+    x[[300, 301, 302, 304, 305, 306]] += 15.0  # two excursions with one reading between
+    x[700:703] += 15.0
+    t[703], x[703] = t[702], x[702] + 0.5  # a correction at the time of the last one
+    f = robust_ar.find_faults(x, t, -459.67, 500.0)
+    assert set(np.flatnonzero(f == robust_ar.SPIKE)) == {300, 301, 302, 304, 305, 306, 700, 701, 702, 703}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_clean_series_have_none(seed):
     t, x = course(3000, seed)
