@@ -205,8 +205,24 @@ class DataFrame:
 
         return RecordBatchStream(batches())
 
+    def partition(self, k: int) -> RecordBatchStream:
+        """The batches of partition ``k``, fetched when the first is asked for; none if there is no such partition."""
+        rows = self.df
+
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            return batches if TaskContext.get().partitionId() == k else iter(())
+
+        def fetch() -> Iterator[pa.RecordBatch]:
+            yield from rows.mapInArrow(only, rows.schema).toArrow().to_batches()
+
+        return RecordBatchStream(fetch())
+
     def execute_stream_partitioned(self) -> list[RecordBatchStream]:
-        return [RecordBatchStream(iter(p)) for p in self.collect_partitioned()]
+        """A stream for each partition; the driver holds those that are read.  The rows are kept on the executors meanwhile."""
+        kept = DataFrame(self.df.persist())
+        return [kept.partition(k) for k in range(kept.df.rdd.getNumPartitions())]
 
     def to_pandas(self) -> Any:
         return self.df.toPandas()

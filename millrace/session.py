@@ -93,7 +93,8 @@ class RuntimeConfig:
         return self
 
     def with_fair_spill_pool(self, size: int) -> RuntimeConfig:
-        self.options["spark.driver.memory"] = f"{max(1, size >> 20)}m"
+        """A pool of ``size`` bytes beside the heap, which sorts, joins and aggregates share and spill beyond."""
+        self.options |= {"spark.memory.offHeap.enabled": "true", "spark.memory.offHeap.size": str(size)}
         return self
 
     def with_greedy_memory_pool(self, size: int) -> RuntimeConfig:
@@ -265,9 +266,8 @@ class SessionContext:
         return self._id
 
     def execute(self, plan: DataFrame, partitions: int = 0) -> Any:
-        """The batches of one partition of ``plan``."""
-        parts = plan.execute_stream_partitioned()
-        return parts[partitions] if partitions < len(parts) else iter(())
+        """The batches of one partition of ``plan``; those of the others stay where they are."""
+        return plan.partition(partitions)
 
     # files
     def _read(self, kind: str, path: Any, schema: pa.Schema | None, extension: str | None, partition_cols: Sequence[Any] | None, options: dict[str, Any], sort_order: Sequence[Any] | None = None) -> SparkDataFrame:

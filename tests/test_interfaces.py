@@ -127,7 +127,7 @@ def test_sessions(ctx, t):
     assert not ctx.table_exist("named") and ctx.empty_table().count() == 0 and ctx.session_id() != SessionContext(spark=ctx.spark).session_id()
     c = SessionConfig().with_target_partitions(5).with_batch_size(100).with_parquet_pruning(False).with_information_schema().with_repartition_joins(False)
     assert c.options["spark.sql.shuffle.partitions"] == "5" and c.options["spark.sql.parquet.filterPushdown"] == "false"
-    assert RuntimeConfig().with_temp_file_path("/x").with_fair_spill_pool(1 << 30).options == {"spark.local.dir": "/x", "spark.driver.memory": "1024m"}
+    assert RuntimeConfig().with_temp_file_path("/x").with_fair_spill_pool(1 << 30).options == {"spark.local.dir": "/x", "spark.memory.offHeap.enabled": "true", "spark.memory.offHeap.size": str(1 << 30)}
     assert ctx.from_arrow(pa.table({"a": [1]})).count() == ctx.from_pylist([{"a": 1}]).count() == ctx.create_dataframe([pa.table({"a": [1]}).to_batches()], "made").count() == 1
     assert AmazonS3("b", region="r").settings() == {"fs.s3a.bucket.b.endpoint.region": "r", "fs.s3a.bucket.b.connection.ssl.enabled": "true"}
     assert GoogleCloud("b").settings() == LocalFileSystem().settings() == MicrosoftAzure("c", "a").settings() == {}
@@ -217,7 +217,7 @@ def test_topics(spark):
     with pytest.raises(ValueError):
         b.with_encoding("xml")
     assert b.with_timestamp("a").build_writer().topic == "t"
-    assert kafka.source_options("b:1", "t", {"auto.offset.reset": "latest", "group.id": "g", "fetch.min.bytes": "1"}) == {"kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "false", "groupIdPrefix": "g", "kafka.fetch.min.bytes": "1"}
+    assert kafka.source_options("b:1", "t", {"auto.offset.reset": "latest", "group.id": "g", "fetch.min.bytes": "1"}) == {"kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "true", "groupIdPrefix": "g", "kafka.fetch.min.bytes": "1"}
     assert kafka.sink_options("b:1", "t") == {"kafka.bootstrap.servers": "b:1", "topic": "t", "kafka.delivery.timeout.ms": "60000"}
     rows = spark.createDataFrame([("a", 1), ("b", 10), ("c", 20), ("d", 100)], "col1 string, col2 int")
     assert [r["value"] for r in kafka.encoded(rows).collect()] == ['{"col1":"a","col2":1}', '{"col1":"b","col2":10}', '{"col1":"c","col2":20}', '{"col1":"d","col2":100}']
@@ -310,3 +310,15 @@ def test_groups_of_a_batch():
     got = {repr(k): p["a0_0"].to_pylist() for k, p in _groups(t, 2)}
     assert got == {"('a', [1])": [1, 3], "(None, [1])": [2], "('b', None)": [4], "(None, [2])": [5]}
     assert [k for k, _ in _groups(t, 0)] == [()] and list(_groups(t.slice(0, 0), 2)) == []
+
+
+def test_partitions_are_read_apart(spark):
+    from millrace.frame import DataFrame
+    from millrace.session import SessionContext
+
+    t = DataFrame(spark.range(0, 40, 1, 4).repartition(4, "id"))
+    parts = [[v for b in p for v in b.to_pyarrow()["id"].to_pylist()] for p in t.execute_stream_partitioned()]
+    assert sorted(sum(parts, [])) == list(range(40)) and sum(map(bool, parts)) > 1
+    one = DataFrame(spark.range(0, 40, 1, 4))
+    assert [v for b in SessionContext(spark=spark).execute(one, 2) for v in b.to_pyarrow()["id"].to_pylist()] == list(range(20, 30))
+    assert list(SessionContext(spark=spark).execute(one, 9)) == []
