@@ -141,6 +141,17 @@ class UDAFCall:
         return UDAFCall(self.udaf, self.args, name)
 
 
+def _flat(columns: list[Any]) -> Iterator[Any]:
+    """Columns that compare as these do and can be encoded: of a struct its fields and whether it is there, of other nested values their text."""
+    for c in columns:
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        if pa.types.is_struct(c.type):
+            yield c.is_null()
+            yield from _flat(c.flatten())
+        else:
+            yield pa.array([repr(x) for x in c.to_pylist()]) if pa.types.is_nested(c.type) else c
+
+
 def _groups(t: pa.Table, nk: int) -> Iterator[tuple[tuple[Any, ...], pa.Table]]:
     """The groups of a batch by its columns k0, k1, ...: the values and the rows.  Sorted once by numbers that stand for the keys."""
     if not nk or not t.num_rows:
@@ -148,10 +159,7 @@ def _groups(t: pa.Table, nk: int) -> Iterator[tuple[tuple[Any, ...], pa.Table]]:
             yield (), t
         return
     code = np.zeros(t.num_rows, np.int64)
-    for i in range(nk):
-        c = t[f"k{i}"].combine_chunks()
-        if pa.types.is_nested(c.type):
-            c = pa.array([repr(x) for x in c.to_pylist()])
+    for c in _flat([t[f"k{i}"].combine_chunks() for i in range(nk)]):
         enc = c if pa.types.is_dictionary(c.type) else c.dictionary_encode(null_encoding="encode")
         _, code = np.unique(code * max(1, len(enc.dictionary)) + enc.indices.to_numpy(zero_copy_only=False), return_inverse=True)
     by = np.argsort(code, kind="stable")

@@ -309,6 +309,8 @@ def test_groups_of_a_batch():
     t = pa.table({"k0": pa.array(["a", None, "a", "b", None]), "k1": pa.array([[1], [1], [1], None, [2]]), "a0_0": pa.array([1, 2, 3, 4, 5])})
     got = {repr(k): p["a0_0"].to_pylist() for k, p in _groups(t, 2)}
     assert got == {"('a', [1])": [1, 3], "(None, [1])": [2], "('b', None)": [4], "(None, [2])": [5]}
+    w = pa.table({"k0": pa.array([{"a": 1, "b": "x"}, None, {"a": 1, "b": None}, {"a": 1, "b": "x"}, {"a": None, "b": None}]), "a0_0": pa.array([1, 2, 3, 4, 5])})
+    assert sorted(p["a0_0"].to_pylist() for _, p in _groups(w, 1)) == [[1, 4], [2], [3], [5]]
     assert [k for k, _ in _groups(t, 0)] == [()] and list(_groups(t.slice(0, 0), 2)) == []
 
 
